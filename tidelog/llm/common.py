@@ -79,24 +79,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered for the words seen lately (bounded)."""
-
-    def __init__(self, most: int = 400_000):
-        from xxhash import xxh3_64_intdigest
-
-        self.hash, self.known, self.most = xxh3_64_intdigest, {}, most
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known, h = self.known, self.hash
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = h(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, as many as the longest text so far needs."""
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS
+
+
+def spans_hashed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of h[lo:hi] for each pair, from prefix sums; equal content and length, equal hash."""
+    power, inverse = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=sums[1:])
+    return mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a whole text, without a Python object for each word."""
+    if not text:
+        return np.empty(0, np.uint64)
+    b = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[b]
+    step = np.diff(inside)
+    return spans_hashed(b.astype(np.uint64) + np.uint64(1), np.flatnonzero(step == 1), np.flatnonzero(step == -1))
 
 
 def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
