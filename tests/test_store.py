@@ -1,5 +1,6 @@
 """The store, the binary formats, the fold's rules, and streams."""
 
+import time
 from datetime import datetime
 
 import pytest
@@ -156,6 +157,12 @@ def test_streamed_liveness(spark, tmp_path):
 
     spark.createDataFrame([("o", "n", 1), ("o", "n", 4), ("o", "m", 2)], "observer string, node string, heartbeat long").write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema("observer string, node string, heartbeat long").parquet(str(tmp_path / "in"))
-    q = liveness(src, 60_000).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.node, r.heartbeat, r.status) for r in spark.table("live").collect()} == {("n", 4, "ALIVE"), ("m", 2, "ALIVE")}
+    # timers keep an availableNow query open: run by time and stop when the rows are there
+    q = liveness(src, 60_000).writeStream.outputMode("update").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 60
+        while q.isActive and spark.table("live").count() < 2 and time.time() < end:
+            time.sleep(0.5)
+        assert {(r.node, r.heartbeat, r.status) for r in spark.table("live").collect()} == {("n", 4, "ALIVE"), ("m", 2, "ALIVE")}
+    finally:
+        q.stop()
