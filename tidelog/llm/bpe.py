@@ -13,7 +13,7 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,7 @@ class WordBPE:
             self.rank.setdefault(vocab[a] << 24 | vocab[b], r)
             self.made.append(vocab[a + b])
         chars = byte_chars()
+        self.path, self.byte_of = path, {c: b for b, c in enumerate(chars)}
         self.inner = [vocab.get(c) for c in chars]
         self.final = [vocab.get(c + suffix) for c in chars]
         self.whole = None not in self.inner and None not in self.final
@@ -91,6 +92,12 @@ class WordBPE:
         self.words: dict[str, bytes] = {}
         self.most = most
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _home(self, pair: np.ndarray) -> np.ndarray:
         return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slot_bits)
 
@@ -196,6 +203,10 @@ class WordBPE:
         if s.isascii():
             s = s.lower()
             return [s] if s.isalpha() else self.ascii(s)
+        if max(s) > "\u04ff" and any(unicodedata.category(c) == "Cn" for c in s):
+            # characters younger than this Unicode table: the library knows how it cuts them
+            normal = self.library.normalizer.normalize_str(s)
+            return [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         # lower case goes character by character: no final sigma
         return self.wide(unicodedata.normalize("NFC", s).replace("Σ", "σ").lower())
 
