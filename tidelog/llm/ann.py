@@ -178,7 +178,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = 2
     rows = stored(spark, usable(vectors).distinct(), "ann-rows")
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    x = np.array(sample["v"].tolist(), np.float64).reshape(len(sample), -1)
+    x = np.array(sample["v"].tolist(), np.float64).reshape(len(sample), -1 if len(sample) else 1)
     parts = int(max(1, min(most_parts, n // part_rows, len(x) // 64)))
     router, probes = learn(x, parts, k) if len(x) else (None, 1)
     sent = spark.sparkContext.broadcast(router)
