@@ -48,6 +48,12 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def columns_of(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of checked size on the driver, by Arrow: no Python object for each row."""
+    table = df.toArrow()
+    return [c.combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in table.columns]
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and the UTF-8 bytes of the text; a null text counts as empty."""
     return docs.select(

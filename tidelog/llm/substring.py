@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, mixed, rolled, rows_of, spans_hashed, stored, word_hashes
+from .common import batch, columns_of, id_text, mixed, rolled, rows_of, spans_hashed, stored, word_hashes
 
 #: Anchors with more contexts than this have their windows counted instead.
 MOST = 2000
@@ -166,11 +166,10 @@ def verdicts(spark: SparkSession, docs: DataFrame, window: int, k: int, most: in
 def _resolved(spark: SparkSession, docs: DataFrame, several: DataFrame, window: int, k: int, most: int) -> DataFrame:
     """(key, mask) of anchors that have several contexts, by automata, or by counts where there are too many."""
     many = several.count()
-    picked = several.count() <= MOST_SENT
+    picked = many <= MOST_SENT
     if picked:
-        rows = several.toPandas()
-        order = np.argsort(rows["anchor"].to_numpy(np.int64))
-        sent = spark.sparkContext.broadcast((rows["anchor"].to_numpy(np.int64)[order], rows["n"].to_numpy(np.int64)[order]))
+        (anchors,) = columns_of(several.select("anchor"))
+        sent = spark.sparkContext.broadcast(np.sort(anchors))
     cols = "anchor long, context long, words binary"
     schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("words", pa.binary())])
 
@@ -187,8 +186,8 @@ def _resolved(spark: SparkSession, docs: DataFrame, several: DataFrame, window:
                     if picked:
                         if not many:
                             continue
-                        at = np.searchsorted(sent.value[0], a)
-                        keep = np.flatnonzero(sent.value[0][np.minimum(at, many - 1)] == a)
+                        at = np.searchsorted(sent.value, a)
+                        keep = np.flatnonzero(sent.value[np.minimum(at, many - 1)] == a)
                     else:
                         keep = np.arange(len(a))
                     if len(keep):
@@ -271,9 +270,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, k: in
 
     count = found.count()
     if count <= MOST_SENT:
-        rows = found.toPandas()
-        order = np.argsort(rows["key"].to_numpy(np.int64))
-        sent = spark.sparkContext.broadcast((rows["key"].to_numpy(np.int64)[order], rows["mask"].to_numpy(np.int64)[order]))
+        key, mask = columns_of(found.select("key", "mask"))
+        order = np.argsort(key)
+        sent = spark.sparkContext.broadcast((key[order], mask[order]))
 
         def stream(batches):
             keys, masks = sent.value
