@@ -10,8 +10,13 @@ are independent: any may be read alone, in parallel.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import tokenizer, vocabulary
+from .bpe import SPACES, vocabulary
 from .common import batch, discard, id_text, rows_of, stored
 
 MAGIC = b"TANS1\0"
@@ -141,6 +146,100 @@ def crc32_joined(a: int, b: int, n: int) -> int:
     return a ^ b
 
 
+class LibraryIds:
+    """Ids of whole texts by the tokenizers library, each distinct run of non-white characters asked for once.
+
+    Where the file's normalizer and pre-tokenizer work on each run alone, a run's ids
+    are the library's for it: printable ASCII runs are cut by the file's pattern and their words go to the
+    library's model, all others go to its whole encoder.  What is remembered is bounded:
+    two generations of `most` runs and words each, none over 256 characters.  Files of
+    another kind are encoded text by text.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.most = self.library.model, most
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        spec = json.loads(self.library.to_str())
+        self.by_run = _cuts_runs(spec)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)").search
+        self.printable = re.compile(r"[!-~]+").fullmatch
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+        self.odd, self.spaces = re.compile("[\x1c-\x1f]").search, re.compile(f"[{SPACES}]+").split
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.old_words.get(word)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            self.words[word] = ids
+        return ids
+
+    def _learn(self, runs: list[str]) -> None:
+        if len(self.words) > self.most:
+            self.old_words, self.words = self.words, {}
+        known, old, word, others = self.runs, self.old_runs, self._word, []
+        for r in runs:
+            if r in old:
+                known[r] = old[r]
+            elif len(r) > 256 or not self.printable(r) or self.special(r):
+                others.append(r)
+            elif r.isalpha():
+                known[r] = word(r.lower())
+            else:
+                known[r] = b"".join(map(word, self.cut(r.lower())))
+        known.update(zip(others, self.whole(others)))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian 32-bit integers, of a few MB of texts at a time."""
+        if not self.by_run:
+            return self.whole(texts)
+        out, held, size = [], [], 0
+        for i, t in enumerate(texts):
+            held.append([r for r in self.spaces(t) if r] if self.odd(t) else t.split())
+            size += len(t)
+            if size > 2_000_000 or i == len(texts) - 1:
+                need = set().union(*held)
+                if len(self.runs) > self.most:
+                    self.old_runs, self.runs = self.runs, {}
+                self._learn([r for r in need if r not in self.runs])
+                get = self.runs.__getitem__
+                out += [b"".join(map(get, w)) for w in held]
+                for r in need:
+                    if len(r) > 256:
+                        del self.runs[r]
+                held, size = [], 0
+        return out
+
+
+def _cuts_runs(spec: dict) -> bool:
+    """Whether the file is of the kind that NFC, lower case and a pattern cut, white space dropped."""
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    # fixed values: the tokenizer file's own pattern
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    cut = len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["pattern"].get("Regex") == pattern and steps[1]["type"] == "ByteLevel"
+    return kinds == ["NFC", "Replace", "Lowercase"] and cut and not steps[1]["add_prefix_space"]
+
+
+@lru_cache(maxsize=2)
+def library_ids(path: str) -> LibraryIds:
+    return LibraryIds(path)
+
+
 def _bucketed(docs: DataFrame, rows: int) -> DataFrame:
     """Rows with `bucket`, which rises with doc_id: bounds are quantiles of doc_id, fixed numbers in the plan."""
     source = id_text(docs)
@@ -161,8 +260,8 @@ def tokenized(docs: DataFrame, path: str, end: int, rows: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("seq", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
 
     def run(batches):
-        bpe = tokenizer(path)
-        wide = max(len(bpe.token), end + 1) > 1 << 16
+        bpe = library_ids(path)
+        wide = max(bpe.size, end + 1) > 1 << 16
         kind = "<u4" if wide else "<u2"
         now, seq, at = None, 0, 0
         for buckets, ids, texts in rows_of(batches, "bucket", "doc_id", "text"):
