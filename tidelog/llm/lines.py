@@ -137,6 +137,8 @@ class LineIndex:
 
     #: Filters go to the executors whole up to this size; beyond it lines go straight to the exact table.
     MOST_FILTER_BYTES = 64 << 20
+    #: A key with 1 / HEAVY_KEYS of all rows is joined in SALTS parts; there are HEAVY_KEYS such keys at most.
+    HEAVY_KEYS, SALTS = 1000, 64
 
     def __init__(self, spark: SparkSession, least_chars: int = 40, least_docs: int = 5, shard_keys: int = 1 << 16):
         self.spark, self.least_chars, self.least_docs, self.shard_keys = spark, least_chars, least_docs, shard_keys
@@ -255,6 +257,17 @@ class LineIndex:
 
         return self._postings(docs).mapInArrow(known, "h1 long, h2 long, doc_id long")
 
+    def _salted(self, asked: DataFrame, frequent: DataFrame) -> DataFrame:
+        """asked joined with its frequent keys.  Keys with a thousandth of all rows, so a thousand at most, are dealt by doc_id too."""
+        total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        heavy = F.col("n") * self.HEAVY_KEYS >= F.lit(total)
+        known = F.broadcast(frequent.where(heavy).select("h1", "h2", F.lit(True).alias("heavy")))
+        dealt = F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(self.SALTS))).otherwise(F.lit(0))
+        rows = asked.join(known, ["h1", "h2"], "left").select("h1", "h2", "doc_id", dealt.cast("int").alias("salt"))
+        salts = F.sequence(F.lit(0), F.when(heavy, F.lit(self.SALTS - 1)).otherwise(F.lit(0)))
+        keys = frequent.select("h1", "h2", "keep", F.explode(salts).alias("salt"))
+        return rows.join(keys, ["h1", "h2", "salt"])
+
     def apply(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_lines, n_dropped, kept_text): a frequent line stays only in its largest doc_id.
 
@@ -262,10 +275,9 @@ class LineIndex:
         one empty line, which stays.  Rows repeated under one doc_id are
         treated alike.  An empty table gives no rows.
         """
-        frequent = self.counts.where(F.col("n") >= self.least_docs).select("h1", "h2", "keep")
+        frequent = self.counts.where(F.col("n") >= self.least_docs).select("h1", "h2", "keep", "n")
         drops = (
-            self._asked(docs)
-            .join(frequent, ["h1", "h2"])
+            self._salted(self._asked(docs), frequent)
             .where(~F.col("doc_id").eqNullSafe(F.col("keep")))
             .distinct()
             .groupBy("doc_id")
