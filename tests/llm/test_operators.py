@@ -303,3 +303,31 @@ def test_pipeline_stages(spark):
     want = {r.doc_id: r.taken for r in mixing.taken_words(*mixing.mix_sources(spark, now, weights=[3, 1, 2], share=1.5)).collect() if r.taken}
     assert took == want
     assert cp.tokens(spark, mixed, sf).count() == mixed.count()
+
+
+def test_library_ids_of_runs_are_the_librarys_of_texts():
+    import random
+    from array import array
+
+    from tidelog.llm.bpe import vocabulary
+    from tidelog.llm.token_file import LibraryIds
+
+    rnd = random.Random(5)
+    signs = "aAbs'tTS<|endoftext|> \x1c\x1d\x85\xa0 ́é Σς9٣,.\x00\x7f漢字ﬁDž🙂"
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(40))) for _ in range(3000)]
+    texts += ["", "<|endoftext|>", "x<|startoftext|>y z", "Ab" * 3000, "don't 12 it's,"]
+    ids = LibraryIds(vocabulary(), most=50)  # generations change often
+    assert ids.by_run
+    found = [x for lo in range(0, len(texts), 100) for x in ids.encode_many(texts[lo : lo + 100])]
+    assert found == [array("I", e.ids).tobytes() for e in ids.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_heavy_line_keys_are_joined_like_others(spark, monkeypatch):
+    from tidelog.llm.lines import LineIndex
+
+    common, rare = "a line that a great many documents hold, word for word", "another line of over forty code points that some hold"
+    docs = spark.createDataFrame([(i, f"{common}\nown {i}" + (f"\n{rare}" if i % 8 == 0 else "")) for i in range(60)], "doc_id long, text string")
+    for heavy in (0, 2, 1000):
+        monkeypatch.setattr(LineIndex, "HEAVY_KEYS", heavy)
+        got = {r.doc_id: r.n_dropped for r in LineIndex(spark).insert(docs).apply(docs).collect()}
+        assert got == {i: (i != 59) + (i % 8 == 0 and i != 56) for i in range(60)}
