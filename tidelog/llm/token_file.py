@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import SPACES, vocabulary
+from .bpe import byte_chars, vocabulary
 from .common import batch, discard, id_text, rows_of, stored
 
 MAGIC = b"TANS1\0"
@@ -147,16 +147,19 @@ def crc32_joined(a: int, b: int, n: int) -> int:
 
 
 class LibraryIds:
-    """Ids of whole texts by the tokenizers library, each distinct run of non-white characters asked for once.
-
-    Where the file's normalizer and pre-tokenizer work on each run alone, a run's ids
-    are the library's for it: printable ASCII runs are cut by the file's pattern and their words go to the
-    library's model, all others go to its whole encoder.  What is remembered is bounded:
-    two generations of `most` runs and words each, none over 256 characters.  Files of
-    another kind are encoded text by text.
+    """Ids of whole texts by the tokenizers library, each distinct word asked for once.
+
+    Where the file's normalizer and pre-tokenizer work on each run of non-white characters
+    alone, texts are cut to words on their bytes, many texts at a time, and each distinct word goes
+    to the library's model.  That holds for runs of printable ASCII and of U+00C0 to U+00FF; a run with
+    any other character is one unit and goes to the library's whole encoder as it is.  Texts with a
+    special token's string, and files of another kind, are encoded whole.  What is remembered is
+    bounded: two generations of `most` words each, none over 256 bytes.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    PIECE = 4 << 20  # bytes cut at a time; a longer text is taken in pieces that end at white space
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -167,62 +170,154 @@ class LibraryIds:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.library.to_str())
         self.by_run = _cuts_runs(spec)
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)").search
-        self.printable = re.compile(r"[!-~]+").fullmatch
-        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-        self.odd, self.spaces = re.compile("[\x1c-\x1f]").search, re.compile(f"[{SPACES}]+").split
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_runs: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"]) or rb"(?!)").search
+        self.plain = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+        self.chars = dict(enumerate(byte_chars()))
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.old_words.get(word)
-            if ids is None:
-                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-            self.words[word] = ids
-        return ids
-
-    def _learn(self, runs: list[str]) -> None:
+    def _ids_of(self, keys: list[bytes]) -> list[bytes]:
         if len(self.words) > self.most:
-            self.old_words, self.words = self.words, {}
-        known, old, word, others = self.runs, self.old_runs, self._word, []
-        for r in runs:
-            if r in old:
-                known[r] = old[r]
-            elif len(r) > 256 or not self.printable(r) or self.special(r):
-                others.append(r)
-            elif r.isalpha():
-                known[r] = word(r.lower())
-            else:
-                known[r] = b"".join(map(word, self.cut(r.lower())))
-        known.update(zip(others, self.whole(others)))
+            self.old, self.words = self.words, {}
+        known, found, odd = self.words, list(map(self.words.get, keys)), []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = keys[i]
+            ids = self.old.get(w)
+            if ids is None:
+                if not self.plain(w):
+                    odd.append(i)
+                    continue
+                text = w.decode() if w.isascii() else w.decode("latin-1").translate(self.chars)
+                ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            found[i] = ids
+            if len(w) <= 256:
+                known[w] = ids
+        if odd:
+            for i, ids in zip(odd, self.whole([keys[i].decode() for i in odd])):
+                found[i] = ids
+                if len(keys[i]) <= 256:
+                    known[keys[i]] = ids
+        return found
+
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece; the pieces together are of bounded size."""
+        at = np.cumsum([1] + [len(p) + 1 for p in pieces])
+        units, starts = _cut_bytes(b"\n" + b"\n".join(pieces) + b"\n" * 4)
+        if not len(starts):
+            return [b""] * len(pieces)
+        units = units.dictionary_encode()
+        which = units.indices.to_numpy()
+        ids = self._ids_of(units.dictionary.to_pylist())
+        sizes = np.fromiter((len(b) >> 2 for b in ids), np.int64, len(ids))
+        first, sizes = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[np.searchsorted(starts, at)].tolist()
+        return [out[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]
+
+    def encode_bytes(self, texts: list[bytes]) -> list[bytes]:
+        """Ids, as little-endian 32-bit integers, of UTF-8 texts."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, whose, size = [], [], 0
+
+        def flush():
+            for i, ids in zip(whose, self._encode(held)):
+                out[i].append(ids)
+
+        for i, text in enumerate(texts):
+            if not self.by_run or self.special(text):
+                out[i] += self.whole([text.decode()])
+                continue
+            for piece in _pieces(text, self.PIECE):
+                held.append(piece)
+                whose.append(i)
+                size += len(piece)
+                if size >= self.PIECE:
+                    flush()
+                    held, whose, size = [], [], 0
+        if held:
+            flush()
+        return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in out]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers, of a few MB of texts at a time."""
-        if not self.by_run:
-            return self.whole(texts)
-        out, held, size = [], [], 0
-        for i, t in enumerate(texts):
-            held.append([r for r in self.spaces(t) if r] if self.odd(t) else t.split())
-            size += len(t)
-            if size > 2_000_000 or i == len(texts) - 1:
-                need = set().union(*held)
-                if len(self.runs) > self.most:
-                    self.old_runs, self.runs = self.runs, {}
-                self._learn([r for r in need if r not in self.runs])
-                get = self.runs.__getitem__
-                out += [b"".join(map(get, w)) for w in held]
-                for r in need:
-                    if len(r) > 256:
-                        del self.runs[r]
-                held, size = [], 0
-        return out
+        return self.encode_bytes([t.encode() for t in texts])
+
+
+_WHITE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[48:58] = _DIGIT
+_CLASS[97:123] = _LETTER
+_CLASS[[9, 10, 11, 12, 13, 32]] = _WHITE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _pieces(text: bytes, most: int):
+    """The text in parts of about `most` bytes; no run of non-white characters is cut."""
+    lo = 0
+    while len(text) - lo > most:
+        hi = max(text.rfind(b" ", lo, lo + most), text.rfind(b"\n", lo, lo + most))
+        if hi <= lo:
+            found = _white(text, lo + most)
+            if not found:
+                break
+            hi = found.start()
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
+_white = re.compile(rb"[ \t-\r]").search
+
+
+def _cut_bytes(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts as the file's pattern cuts them, lower-cased, and where each starts.
+
+    data starts with white space and ends with four characters of it.  A run that
+    holds anything but printable ASCII and letters from U+00C0 to U+00FF is one unit, unchanged.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    low = _LOWER[raw]
+    kind = _CLASS[low]
+    lead = np.flatnonzero(low == 0xC3)
+    if len(lead):
+        upper = lead[(low[lead + 1] < 0x9F) & (low[lead + 1] != 0x97)] + 1
+        low[upper] += 32
+        lead = lead[~np.isin(low[lead + 1], (0x97, 0xB7))]  # signs of multiplication and division
+        kind[lead] = kind[lead + 1] = _LETTER
+    inside = kind != _WHITE
+    first = np.empty(len(raw), bool)  # of a run
+    first[0] = False
+    np.greater(inside[1:], inside[:-1], out=first[1:])
+    start = np.empty(len(raw), bool)  # of a word
+    start[0] = False
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _DIGIT
+    start &= inside
+    quote = np.flatnonzero(low == 0x27)
+    quote = quote[kind[quote - 1] != _SIGN]
+    for end in (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"):
+        here = quote
+        for i, c in enumerate(end):
+            here = here[low[here + 1 + i] == c]
+        start[here + 1] = False
+        after = here + 1 + len(end)
+        start[after] |= kind[after] == _LETTER
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        run = np.cumsum(first)
+        bad = np.zeros(run[-1] + 1, bool)
+        bad[run[odd]] = True
+        at = np.flatnonzero(bad[run] & inside)
+        low[at] = raw[at]
+        start[at] = first[at]
+    offsets = np.append(np.flatnonzero(start[inside]), int(inside.sum())).astype(np.int32)
+    units = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])])
+    return units, np.flatnonzero(start)
 
 
 def _cuts_runs(spec: dict) -> bool:
@@ -265,16 +360,21 @@ def tokenized(docs: DataFrame, path: str, end: int, rows: int) -> DataFrame:
         kind = "<u4" if wide else "<u2"
         now, seq, at = None, 0, 0
         for buckets, ids, texts in rows_of(batches, "bucket", "doc_id", "text"):
-            for lo in range(0, len(ids), 256):
-                coded = bpe.encode_many([t.decode() for t in texts[lo : lo + 256]])
+            ends = np.cumsum([len(t) for t in texts])
+            lo = 0
+            while lo < len(ids):
+                # a few MB of texts, one at least
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + bpe.PIECE)))
+                coded = bpe.encode_bytes(texts[lo:hi])
                 places, blobs = [], []
-                for b, c in zip(buckets[lo : lo + 256], coded):
+                for b, c in zip(buckets[lo:hi], coded):
                     if b != now:
                         now, seq, at = b, 0, 0
                     places.append((seq, at))
                     seq, at = seq + 1, at + (len(c) >> 2) + 1
                     blobs.append(np.append(np.frombuffer(c, "<u4"), np.uint32(end)).astype(kind).tobytes())
-                yield batch(schema, buckets[lo : lo + 256], [p[0] for p in places], [p[1] for p in places], ids[lo : lo + 256], [wide] * len(blobs), blobs)
+                yield batch(schema, buckets[lo:hi], [p[0] for p in places], [p[1] for p in places], ids[lo:hi], [wide] * len(blobs), blobs)
+                lo = hi
 
     return _bucketed(docs, rows).mapInArrow(run, "bucket int, seq long, at long, doc_id long, wide boolean, ids binary")
 
