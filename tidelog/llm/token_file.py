@@ -159,7 +159,7 @@ class LibraryIds:
 
     PIECE = 4 << 20  # bytes cut at a time; a longer text is taken in pieces that end at white space
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
