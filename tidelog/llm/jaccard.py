@@ -143,7 +143,8 @@ def _shared_bits(spark: SparkSession, repeated: DataFrame, n: int):
 
     chunks = repeated.select("token", F.expr(f"cast((token & {(1 << power) - 1}) >> 16 as int)").alias("chunk"))
     whole = np.zeros(1 << (power - 3), np.uint8)
-    for r in chunks.groupBy("chunk").applyInPandas(build, "chunk int, bits binary").toLocalIterator():
+    # at most 4,096 chunks of 8 kB, in one job
+    for r in chunks.groupBy("chunk").applyInPandas(build, "chunk int, bits binary").collect():
         whole[r.chunk << 13 : (r.chunk + 1) << 13] = np.frombuffer(r.bits, np.uint8)
     return spark.sparkContext.broadcast((power, whole.tobytes()))
 
