@@ -147,6 +147,8 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) ->
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
     )
+    same = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    was = same(e)
     for _ in range(most_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -162,8 +164,8 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) ->
             .distinct()
         )
         new = stored(spark, small, "edges")
-        same = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = same(new) == same(e)
+        now = same(new)
+        done, was = now == was, now
         discard(spark, e)
         e = new
         if done:
