@@ -331,3 +331,20 @@ def test_heavy_line_keys_are_joined_like_others(spark, monkeypatch):
         monkeypatch.setattr(LineIndex, "HEAVY_KEYS", heavy)
         got = {r.doc_id: r.n_dropped for r in LineIndex(spark).insert(docs).apply(docs).collect()}
         assert got == {i: (i != 59) + (i % 8 == 0 and i != 56) for i in range(60)}
+
+
+def test_words_cut_on_bytes_are_the_librarys():
+    from array import array
+
+    from tidelog.llm.bpe import vocabulary
+    from tidelog.llm.token_file import LibraryIds
+
+    rnd = random.Random(7)
+    kinds = ("aAbsStTrReEvVlLmMdD'''' 12,.!\n\tÉéß×÷ÀÿÖ", "stredmlv'' ,9é", "J̌ǰIİi̇ aé,\xa0　x'S\n")
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(40))) for signs in kinds for _ in range(1500)]
+    texts += ["<|ENDOFTEXT|> É<|ENDOFTEXT|>", "'store's''s I'LL WE'VEd", "é" * 400 + " x"]
+    ids = LibraryIds(vocabulary())
+    want = [array("I", e.ids).tobytes() for e in ids.library.encode_batch(texts, add_special_tokens=False)]
+    for piece in (60, LibraryIds.PIECE):
+        ids.PIECE = piece
+        assert ids.encode_many(texts) == want
