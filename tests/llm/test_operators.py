@@ -334,6 +334,7 @@ def test_heavy_line_keys_are_joined_like_others(spark, monkeypatch):
 
 
 def test_words_cut_on_bytes_are_the_librarys():
+    import random
     from array import array
 
     from tidelog.llm.bpe import vocabulary
