@@ -349,3 +349,30 @@ def test_words_cut_on_bytes_are_the_librarys():
     for piece in (60, LibraryIds.PIECE):
         ids.PIECE = piece
         assert ids.encode_many(texts) == want
+
+
+def test_wrapped_notices_are_found_whole(spark):
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    bsd = """dnl Redistribution and use in source and binary forms, with or without
+dnl modification, are permitted provided that the following conditions are met:"""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+    apache = """// http://www.apache.org/licenses/
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    prose = "\n".join(licenses.OTHER)
+    texts = [f"/*\n{gpl}\n */\nint x;", bsd, f"{prose}\n{mit}\n{prose}", apache, prose, f"{bsd}\n\n{mit}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.family, r.line_no, r.last_line, r.fresh) for r in licenses.scan(docs).collect()}
+    n = len(licenses.OTHER)
+    assert got == {
+        (0, "gpl-3.0", 2, 5, 4), (1, "bsd-3-clause", 1, 2, 2), (2, "mit", n + 1, n + 3, 3), (3, "apache-2.0", 3, 5, 3), (5, "bsd-3-clause", 1, 2, 2), (5, "mit", 4, 6, 3),
+    }
+    long = f"{prose} {mit} {prose} {bsd}".replace("\n", " ").encode()
+    assert [f[2] for f in licenses.model().find([long], 0.5, 0.6)] == ["bsd-3-clause", "mit"]

@@ -1,6 +1,8 @@
 """Operator 7: license scans by a trained paragraph classifier.
 
-Lines are the paragraphs.  A multinomial logistic regression over hashed word 1- to
+A paragraph is a run of lines that aren't blank, comment marks not counted, so a
+wrapped notice is whole.  In it, wherever the words of a template stand close together, these
+words are classified.  A multinomial logistic regression over hashed word 1- to
 3-grams, sparse, is trained from the templates below: whole, cut, and with
 words changed, against ordinary prose for the unknown class.  A temperature
 calibrates it on held-out variants.  A prediction stands only if the words
@@ -9,7 +11,10 @@ of its family's template confirm it.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -64,12 +69,31 @@ OTHER = [
 ]
 BITS = 14
 _WORDS = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
+#: Comment marks that are letters, and lines that hold nothing but other marks.
+_MARK = re.compile(rb"\s*(?:@?rem|dnl|c)\s", re.I)
+_BLANK = re.compile(rb"[\s/*#;%!\"'<>|.=+~_-]*").fullmatch
 
 
 def words_of(line: bytes) -> list[bytes]:
     return _WORDS.findall(line.lower())
 
 
+def paragraphs(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first line, lines) of each run of lines that aren't blank, without letters that mark comments."""
+    run: list[bytes] = []
+    i = 0
+    for i, line in enumerate(text.split(b"\n"), 1):
+        if mark := _MARK.match(line):
+            line = line[mark.end() :]
+        if not _BLANK(line):
+            run.append(line)
+        elif run:
+            yield i - len(run), run
+            run = []
+    if run:
+        yield i + 1 - len(run), run
+
+
 def grams(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest as h
 
@@ -127,6 +151,14 @@ class LicenseModel:
         self.accuracy = float(np.mean([int(x.argmax() == y) for x, y in held]))
         self.forms = {n: [set(zip(w, w[1:])) for w in (words_of(t.encode()) for t in ts)] for n, ts in TEMPLATES.items()}
         self.head = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t.encode())}
+        # (family, distinct word pairs, words) of each template, and the templates that hold a pair
+        self.templates: list[tuple[str, int, int]] = []
+        self.having: dict[tuple[bytes, bytes], list[int]] = {}
+        for n, ts in TEMPLATES.items():
+            for t, form in zip(ts, self.forms[n]):
+                for pair in form:
+                    self.having.setdefault(pair, []).append(len(self.templates))
+                self.templates.append((n, len(form), len(words_of(t.encode()))))
 
     def logits(self, feats: np.ndarray) -> np.ndarray:
         return self.weights[feats].sum(0) / np.sqrt(max(1, len(feats))) + self.bias
@@ -137,17 +169,79 @@ class LicenseModel:
         return p / p.sum()
 
     def judge(self, line: bytes, chance: float, overlap: float) -> tuple[str, float, float] | None:
-        """(family, chance, share of a template's word pairs found), if classifier and template agree."""
-        words = words_of(line)
+        """(family, chance, share of a template's word pairs found) of a line's clearest notice, if it holds one."""
+        found = self.find([line], chance, overlap)
+        return max((f[2:] for f in found), key=lambda f: (f[2], f[1])) if found else None
+
+    def find(self, lines: list[bytes], chance: float, overlap: float) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, chance, overlap) of each notice in a paragraph, lines from 0.
+
+        Findings of one family on a common line are one.
+        """
+        words, ends = [], []
+        for line in lines:
+            words += words_of(line)
+            ends.append(len(words))
         if len(self.head.intersection(words)) < 3:  # less than any template's words
-            return None
-        p = self.chances(grams(words))
-        k = int(p.argmax())
-        if k == len(self.names) - 1 or p[k] < chance:
-            return None
-        pairs = set(zip(words, words[1:]))
-        share = max(len(pairs & form) / len(form) for form in self.forms[self.names[k]])
-        return (self.names[k], float(p[k]), share) if share >= overlap else None
+            return []
+        hits: dict[int, list[tuple[int, tuple[bytes, bytes]]]] = {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            for k in self.having.get(pair, ()):
+                hits.setdefault(k, []).append((i, pair))
+        found = []
+        for k, places in hits.items():
+            family, pairs, length = self.templates[k]
+            for lo, hi, n in _close(places, math.ceil(overlap * pairs - 1e-9), 2 * length + 8):
+                p = self._confirmed(words, lo, hi, family)
+                if p >= chance:
+                    found.append((bisect_right(ends, lo), bisect_right(ends, hi), family, p, n / pairs))
+        out: list[tuple[int, int, str, float, float]] = []
+        for f in sorted(found, key=lambda f: (f[2], f[0], f[1])):
+            if out and out[-1][2] == f[2] and f[0] <= out[-1][1]:
+                was = out.pop()
+                best = max(was, f, key=lambda x: (x[4], x[3]))
+                f = (was[0], max(was[1], f[1]), *best[2:])
+            out.append(f)
+        return sorted(out)
+
+    def _confirmed(self, words: list[bytes], lo: int, hi: int, family: str) -> float:
+        """The chance of the family where it is the likeliest, for words lo to hi with up to three around them, as in training, or without."""
+        k, best = self.names.index(family), 0.0
+        for around in (3, 0):
+            p = self.chances(grams(words[max(0, lo - around) : hi + 1 + around]))
+            if int(p.argmax()) == k:
+                best = max(best, float(p[k]))
+        return best
+
+
+def _close(places: list[tuple[int, tuple[bytes, bytes]]], need: int, room: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, last word, distinct pairs) of stretches of at most `room` words with `need` distinct pairs, none overlapping."""
+    left = right = 0
+    held: dict[tuple[bytes, bytes], int] = {}
+    while right < len(places):
+        at, pair = places[right]
+        held[pair] = held.get(pair, 0) + 1
+        while at + 1 - places[left][0] >= room:
+            gone = places[left][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            left += 1
+        if len(held) >= need:  # take what adds pairs in the room that is left, then cut repeats off the front
+            last = right
+            for j in range(right + 1, len(places)):
+                if places[j][0] + 1 - places[left][0] >= room:
+                    break
+                if places[j][1] not in held or places[j][0] == places[last][0] + 1:
+                    for x in range(last + 1, j + 1):
+                        held[places[x][1]] = held.get(places[x][1], 0) + 1
+                    last = j
+            while held[places[left][1]] > 1:
+                held[places[left][1]] -= 1
+                left += 1
+            yield places[left][0], places[last][0] + 1, len(held)
+            left, right, held = last + 1, last, {}
+        right += 1
 
 
 @lru_cache(maxsize=1)
@@ -156,41 +250,39 @@ def model() -> LicenseModel:
 
 
 def scan(docs: DataFrame, chance: float = 0.5, overlap: float = 0.6) -> DataFrame:
-    """(doc_id, line_no, family, chance, overlap): a row for each line that grants or names a license.
+    """(doc_id, line_no, last_line, fresh, family, chance, overlap): a row for each notice that grants or names a license.
 
-    Every line of every whole text is judged where it lies; nothing is
-    shuffled.  line_no counts from 1.  Null and empty texts have no such lines; a null
+    Every paragraph of every whole text is judged where it lies; nothing is
+    shuffled.  A notice lies on lines line_no to last_line, counted from 1; `fresh` is how many of them are in no
+    earlier row of its text.  Null and empty texts have no notices; a null
     doc_id is carried; repeated rows repeat theirs.  Only doc_id and text are read.
     The model is fixed by the templates and a seed, so each task trains the same one in a second or two.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("family", pa.string()), ("chance", pa.float64()), ("overlap", pa.float64())])
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("line_no", pa.int32()), ("last_line", pa.int32()), ("fresh", pa.int32()), ("family", pa.string()), ("chance", pa.float64()), ("overlap", pa.float64())]
+    )
 
     def run(batches):
-        m, known = model(), {}
+        m = model()
         for ids, texts in rows_of(batches, "doc_id", "text"):
             out = []
             for d, t in zip(ids, texts):
-                for i, line in enumerate(t.split(b"\n"), 1):
-                    if line in known:
-                        found = known[line]
-                    else:
-                        found = m.judge(line, chance, overlap)
-                        if len(line) < 200:
-                            if len(known) > 50_000:
-                                known.clear()
-                            known[line] = found
-                    if found:
-                        out.append((d, i, *found))
+                done = 0  # rows come by line_no, so lines up to here are counted
+                for first, lines in paragraphs(t):
+                    for lo, hi, *rest in m.find(lines, chance, overlap):
+                        lo, hi = first + lo, first + hi
+                        out.append((d, lo, hi, max(0, hi - max(done, lo - 1)), *rest))
+                        done = max(done, hi)
             if out:
                 yield batch(schema, *map(list, zip(*out)))
 
-    return id_text(docs).mapInArrow(run, "doc_id long, line_no int, family string, chance double, overlap double")
+    return id_text(docs).mapInArrow(run, "doc_id long, line_no int, last_line int, fresh int, family string, chance double, overlap double")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its license families, ordered, and how many of its lines named one."""
+    """Per document: its license families, ordered, and how many of its lines notices lie on."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scan(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("family")).alias("f"), F.count("*").alias("n"))
+    found = scan(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("family")).alias("f"), F.sum("fresh").alias("n"))
     found = found.select(F.col("doc_id").alias("found_id"), "f", "n")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(found, F.col("doc_id") == F.col("found_id"), "left").select(
