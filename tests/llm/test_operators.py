@@ -376,3 +376,18 @@ in the Software without restriction, including without limitation the rights"""
     }
     long = f"{prose} {mit} {prose} {bsd}".replace("\n", " ").encode()
     assert [f[2] for f in licenses.model().find([long], 0.5, 0.6)] == ["bsd-3-clause", "mit"]
+
+
+def test_each_license_of_a_line_and_no_neighbour():
+    def families(text):
+        return [f[2] for _, lines_ in licenses.paragraphs(text.encode()) for f in licenses.model().find(lines_, 0.5, 0.6)]
+
+    gpl = "This {} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation; either version {} of the License, or any later version."
+    assert families("Licensed under the MIT license or the Apache License, Version 2.0") == ["apache-2.0", "mit"]
+    assert families(gpl.format("program", "", "3")) == ["gpl-3.0"] and families("Licensed under the Apache License, v2.0") == ["apache-2.0"]
+    assert families("Licensed under CC BY-NC 4.0.") == ["cc-by-nc-4.0"] and families("Licensed under CC BY 4.0.") == ["cc-by-4.0"]
+    for other in (
+        gpl.format("program", "", "2"), gpl.format("library", "Lesser ", "2.1"), gpl.format("library", "Lesser ", "3"), gpl.format("program", "Affero ", "3"), "Licensed under CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.", "Licensed under CC BY-NC-SA 4.0", "Licensed under the Apache License, Version 1.1",
+    ):
+        assert families(other) == []

@@ -67,6 +67,12 @@ OTHER = [
     "students at mit wrote the first version of the program in two weeks",
     "the foundation of the work is free thought and the rights of man",
 ]
+#: Words of other licenses whose wording is otherwise close to a family's.
+OTHERS_WORDS = {
+    "gpl-3.0": {b"lesser", b"affero", b"library"},
+    "cc-by-4.0": {b"noncommercial", b"nc", b"sharealike", b"sa", b"noderivatives", b"noderivs", b"nd"},
+    "cc-by-nc-4.0": {b"sharealike", b"sa", b"noderivatives", b"noderivs", b"nd"},
+}
 BITS = 14
 _WORDS = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
 #: Comment marks that are letters, and lines that hold nothing but other marks.
@@ -94,6 +100,12 @@ def paragraphs(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
         yield i + 1 - len(run), run
 
 
+def versions(words: list[bytes]) -> set[bytes]:
+    """The words with digits; v3 and 3.0 count as 3."""
+    found = (w.removeprefix(b"v") for w in words if any(48 <= c < 58 for c in w))
+    return {w.removesuffix(b".0") for w in found}
+
+
 def grams(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest as h
 
@@ -151,14 +163,15 @@ class LicenseModel:
         self.accuracy = float(np.mean([int(x.argmax() == y) for x, y in held]))
         self.forms = {n: [set(zip(w, w[1:])) for w in (words_of(t.encode()) for t in ts)] for n, ts in TEMPLATES.items()}
         self.head = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t.encode())}
-        # (family, distinct word pairs, words) of each template, and the templates that hold a pair
-        self.templates: list[tuple[str, int, int]] = []
+        # (family, distinct word pairs, words, versions) of each template, and the templates that hold a pair
+        self.templates: list[tuple[str, int, int, set[bytes]]] = []
         self.having: dict[tuple[bytes, bytes], list[int]] = {}
         for n, ts in TEMPLATES.items():
             for t, form in zip(ts, self.forms[n]):
                 for pair in form:
                     self.having.setdefault(pair, []).append(len(self.templates))
-                self.templates.append((n, len(form), len(words_of(t.encode()))))
+                w = words_of(t.encode())
+                self.templates.append((n, len(form), len(w), versions(w)))
 
     def logits(self, feats: np.ndarray) -> np.ndarray:
         return self.weights[feats].sum(0) / np.sqrt(max(1, len(feats))) + self.bias
@@ -176,7 +189,9 @@ class LicenseModel:
     def find(self, lines: list[bytes], chance: float, overlap: float) -> list[tuple[int, int, str, float, float]]:
         """(first line, last line, family, chance, overlap) of each notice in a paragraph, lines from 0.
 
-        Findings of one family on a common line are one.
+        Each family is looked for on its own, so a line may hold several.  Findings of one family
+        on a common line are one.  A notice must hold its template's version, at most three words away, and no
+        word that makes it another license's.
         """
         words, ends = [], []
         for line in lines:
@@ -190,8 +205,12 @@ class LicenseModel:
                 hits.setdefault(k, []).append((i, pair))
         found = []
         for k, places in hits.items():
-            family, pairs, length = self.templates[k]
+            family, pairs, length, version = self.templates[k]
             for lo, hi, n in _close(places, math.ceil(overlap * pairs - 1e-9), 2 * length + 8):
+                spans = (words[max(0, lo - more) : hi + 1 + more] for more in range(4))
+                own = next((s for s in spans if version <= versions(s)), None)
+                if own is None or not OTHERS_WORDS.get(family, set()).isdisjoint(own):
+                    continue
                 p = self._confirmed(words, lo, hi, family)
                 if p >= chance:
                     found.append((bisect_right(ends, lo), bisect_right(ends, hi), family, p, n / pairs))
