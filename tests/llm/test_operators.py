@@ -391,3 +391,11 @@ def test_each_license_of_a_line_and_no_neighbour():
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.", "Licensed under CC BY-NC-SA 4.0", "Licensed under the Apache License, Version 1.1",
     ):
         assert families(other) == []
+
+
+def test_texts_with_more_runs_than_are_remembered(library):
+    own = bpe.WordBPE(bpe.vocabulary(), most=50)
+    texts = [" ".join(f"{kind}{i}" for i in range(at, at + 120)) for kind, at in (("id", 0), ("id", 60), ("n<|endoftext|>", 0), ("é", 0), ("id", 0))]
+    for batch_ in ([t] for t in texts), [texts[:2], texts[2:]], [texts * 2]:
+        for group in batch_:
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(group)] == [library.encode(t, add_special_tokens=False).ids for t in group]

@@ -45,7 +45,7 @@ class WordBPE:
     """A tokenizer file of kind BPE with word ends: NFC, lower case, white space dropped, byte-level parts.
 
     Ids are remembered for runs of non-white characters and for words, in two
-    generations of `most` entries each, so memory is bounded.
+    generations of `most` entries and one batch's each, so memory is bounded.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -263,8 +263,8 @@ class WordBPE:
                 if new:
                     before = self.known
                     self._learn(new)
-                    if self.known is not before:  # a new generation began: recall what these texts need
-                        self._learn(set().union(*held).difference(self.known))
+                    if self.known is not before:  # a new generation began: what these texts need of the last goes on, whatever its size
+                        self.known.update((c, before[c]) for c in set().union(*held).difference(self.known))
                 get = self.known.__getitem__
                 out += [b"".join(map(get, w)) for w in held]
                 held, size = [], 0
