@@ -399,3 +399,20 @@ def test_texts_with_more_runs_than_are_remembered(library):
     for batch_ in ([t] for t in texts), [texts[:2], texts[2:]], [texts * 2]:
         for group in batch_:
             assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(group)] == [library.encode(t, add_special_tokens=False).ids for t in group]
+
+
+def test_large_groups_of_near_copies_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 16)
+    tiles, links = [], jaccard._tile_links
+
+    def seen(postings, *rest):
+        tiles.append(postings.groupBy("key").count().agg(F.max("count")).first()[0])
+        return links(postings, *rest)
+
+    monkeypatch.setattr(jaccard, "_tile_links", seen)
+    common = " ".join(f"c{i}" for i in range(200))
+    rows = [(i, f"{common} own{i}") for i in range(300)] + [(1000 + i, " ".join(f"x{i}y{j}" for j in range(60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark, df, k=4, percent=85).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in rows}
+    assert len(tiles) == 1 and tiles[0] < 100  # about two blocks of 16, not the group of 300

@@ -4,7 +4,8 @@
    with one set are one class; only its smallest doc_id goes on.
 2. A set that must share 85 % of a partner's shares one of the first n - ceil(.85 n) + 1
    shingles of any fixed order.  The order puts frequent shingles last.  Rows that
-   meet in such a shingle form a tile.  In a tile only sizes within the band are
+   meet in such a shingle form a tile; rows are counted after that cut, and a larger tile than
+   TILE_ROWS is one for each pair of its blocks.  In a tile only sizes within the band are
    compared, by hashed bitmaps: the bits in which two parity bitmaps differ are a lower bound
    of the symmetric difference, so bit counts bound the overlap from above.
 3. What the bitmaps let through links documents into loose groups; inside a group
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, components, id_text, rolled, rows_of, stored, word_hashes
+from .common import batch, components, discard, id_text, rolled, rows_of, stored, word_hashes
 
-#: Rows of a hot shingle's tile that are compared in one piece.
+#: Rows of a block of a large tile; a pair of blocks is compared in one piece.
 TILE_ROWS = 4096
 #: Shingles of a loose group that are compared in one piece.
 GROUP_WORDS = 1_000_000
@@ -154,7 +155,7 @@ def _postings(texts: DataFrame, k: int, percent: int, below: int, hot, shared) -
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
     def run(batches):
-        tokens, blocks = hot.value
+        tokens = hot.value
         power, raw = shared.value
         place = np.frombuffer(raw, np.uint8)
         for ids, texts_ in rows_of(batches, "doc_id", "text"):
@@ -165,23 +166,13 @@ def _postings(texts: DataFrame, k: int, percent: int, below: int, hot, shared) -
                     n = len(s)
                     if not n:
                         continue
-                    is_hot, nb = np.zeros(n, bool), np.ones(n, np.int64)
+                    is_hot = np.zeros(n, bool)
                     if len(tokens):
-                        where = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        is_hot = tokens[where] == s
-                        nb[is_hot] = blocks[where[is_hot]]
-                    order = np.argsort(is_hot, kind="stable")[: n + (-percent * n // 100) + 1]
-                    s, nb = s[order], nb[order]
+                        is_hot = tokens[np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)] == s
+                    s = s[np.argsort(is_hot, kind="stable")[: n + (-percent * n // 100) + 1]]
                     low = (s & np.uint64((1 << power) - 1)).astype(np.int64)
                     keep = (s >= np.uint64(below)) | ((place[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1)
-                    s, nb = s[keep], nb[keep]
-                    mine = [s[nb == 1]]
-                    for x, b in zip(s[nb > 1].tolist(), nb[nb > 1].tolist()):
-                        # a hot shingle's rows lie in b blocks; each pair of blocks is a tile
-                        i = (d * 0x9E3779B97F4A7C15 >> 7) % b
-                        j = np.arange(b)
-                        mine.append(np.uint64(x) ^ rolled(np.minimum(i, j).astype(np.uint64) * np.uint64(65536) + np.maximum(i, j).astype(np.uint64), 1))
-                    mine = np.concatenate(mine)
+                    mine = s[keep]
                     keys.append(mine)
                     nodes += [d] * len(mine)
                     ns += [n] * len(mine)
@@ -192,6 +183,17 @@ def _postings(texts: DataFrame, k: int, percent: int, below: int, hot, shared) -
     return texts.mapInArrow(run, "key long, node long, n long, bits binary")
 
 
+def _split(postings: DataFrame) -> DataFrame:
+    """postings with each key of over TILE_ROWS rows replaced by keys of its pairs of blocks; a row goes to every pair of its block."""
+    rows = postings.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE_ROWS)
+    # a TILE_ROWS-th of all postings at most
+    large = F.broadcast(rows.select(F.col("key").alias("large"), F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("blocks")))
+    found = postings.join(large, F.col("key") == F.col("large"), "left")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(mine, j), F.greatest(mine, j)))
+    return found.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "node", "n", "bits")
+
+
 def _tile_links(postings: DataFrame, percent: int, partitions: int) -> DataFrame:
     """(a, b): in each tile, edges that join the rows whose bound allows a link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -295,18 +297,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     df = stored(spark, df, "jaccard-repeated")
     total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("rows")).first()
     least = max(48, -(-total.rows // MOST_HOT))
-    frequent = df.where(F.col("df") >= least).select("token", "df").toPandas()
+    frequent = df.where(F.col("df") >= least).select("token").toPandas()
     tokens = frequent["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    blocks = np.ceil(frequent["df"].to_numpy(np.int64) / TILE_ROWS).astype(np.int64)
-    hot = spark.sparkContext.broadcast((tokens[order], blocks[order]))
+    hot = spark.sparkContext.broadcast(np.sort(tokens))
     shared = _shared_bits(spark, df.select("token"), total.n)
 
     source = id_text(docs).dropna(subset=["doc_id"])
     reps = classes.select(F.col("rep").alias("doc_id"))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     postings = _postings(source.join(reps, "doc_id", "left_semi"), k, percent, below, hot, shared)
-    edges = stored(spark, _tile_links(postings, percent, partitions), "jaccard-loose")
+    postings = stored(spark, postings, "jaccard-postings")
+    edges = stored(spark, _tile_links(_split(postings), percent, partitions), "jaccard-loose")
+    discard(spark, postings)
     loose = components(spark, edges).join(classes.select(F.col("rep").alias("node"), "n"), "node")
     found = stored(spark, _exact_links(spark, source, loose, k, percent), "jaccard-links")
     comps = components(spark, found)
