@@ -2,6 +2,9 @@
 
 Every stage reads all that the one before it kept, and its decisions take effect.
 All but the last return the columns of documents.
+
+Decisions are made for rows and joined to rows (`keyed`): a row with a null or
+repeated doc_id gets what its operator says of that row.
 """
 
 from __future__ import annotations
@@ -10,31 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, jaccard, lines, mixing, quality
-from tidelog.llm.common import stored
+from tidelog.llm.common import keyed, stored
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Keyed docs without the rows found, and without the key."""
+    gone = found.select(F.col("__row").alias("__gone")).distinct()
+    return docs.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts.  A document is rejected below 0.5: clean ones stay."""
-    found = quality.classify(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5)
-    gone = found.where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Documents that the classifier accepts.  A document is rejected below 0.5: clean ones stay.
+
+    Each row is judged by its own text, whatever its doc_id.
+    """
+    docs = keyed(docs)
+    found = quality.classify(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5, carry=("__row",))
+    return _without(docs, found.where("predicted = 0"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines found in five documents or more stay in one of them; n_chars follows the text."""
-    found = lines.LineIndex(spark).insert(docs).apply(docs).where("n_dropped > 0")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id"])
-    kept = docs.join(found, F.col("doc_id") == F.col("__id"), "left")
+    """Long lines found in five documents or more stay in one of them, that with the largest doc_id; n_chars follows the text.
+
+    Every row counts as a document.  All rows under that doc_id keep the line; rows with a null
+    doc_id lose it, unless all that hold it have none.
+    """
+    columns, docs = docs.dtypes, keyed(docs)
+    found = lines.LineIndex(spark).insert(docs).apply(docs, carry=("__row",)).where("n_dropped > 0")
+    # rows of one key have one doc_id and one text, so one kept text
+    found = found.select(F.col("__row").alias("__id"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id"])
+    kept = docs.join(found, F.col("__row") == F.col("__id"), "left")
     text = F.coalesce("__kept", "text")
-    out = [text.alias(c) if c == "text" else F.when(F.col("__kept").isNull(), F.col(c)).otherwise(F.char_length("__kept").cast(t)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    out = [text.alias(c) if c == "text" else F.when(F.col("__kept").isNull(), F.col(c)).otherwise(F.char_length("__kept").cast(t)).alias(c) if c == "n_chars" else F.col(c) for c, t in columns]
     return kept.select(*out)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join, the one with the smallest doc_id stays."""
-    found = jaccard.near_duplicates(spark, docs, k=5, percent=80)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of documents that near-duplicate links join, the one with the smallest doc_id stays.
+
+    Rows repeated under one doc_id are one document to the operator, so all rows under that
+    smallest doc_id stay; a row under another one goes if the group of its own text has a smaller doc_id.  Rows with a null
+    doc_id have no partners and stay.
+    """
+    docs = keyed(docs)
+    found = jaccard.near_duplicates(spark, docs, k=5, percent=80, carry=("__row",))
+    return _without(docs, found.where("component_id <> doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +66,24 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Runs are whole documents where every block is taken alike; the times a
     document is taken in whole are that many rows.  A part of a document is a row of its own
     with the words of the blocks that were taken once more.
+
+    A row with a null or repeated doc_id has its own place in its source and gives its own words.  Of rows alike
+    in all columns any one stands for each of their places.
     """
-    placed, taken = mixing.mix_sources(spark, docs, weights=[3, 1, 2], share=1.5, most=2.0)
+    columns, docs = docs.dtypes, keyed(docs)
+    placed, taken = mixing.mix_sources(spark, docs, weights=[3, 1, 2], share=1.5, most=2.0, carry=("__row",))
     times = taken.groupBy("source_key", "at", "from_word", "n_words").agg(F.count("*").alias("times"))
     pieces = times.groupBy("source_key", "at").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("pieces"))
-    rows = placed.select("doc_id", "source_key", "at", "size").where("size > 0").dropDuplicates(["doc_id"])
-    rows = rows.join(pieces, ["source_key", "at"]).select(F.col("doc_id").alias("__id"), "pieces")
-    out = docs.join(rows, F.col("doc_id") == F.col("__id"))
+    rows = placed.where("size > 0").select("source_key", "at", F.col("__row").alias("__id"))
+    rows = rows.join(pieces, ["source_key", "at"]).select("__id", "pieces")
+    out = docs.dropDuplicates(["__row"]).join(rows, F.col("__row") == F.col("__id"))
     most = F.array_max(F.transform("pieces", lambda p: p["times"])).cast("int")
     out = out.withColumn("__take", F.explode(F.sequence(F.lit(1), most))).withColumn("__words", F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1)))
     used = F.filter("pieces", lambda p: p["times"] >= F.col("__take"))
     words = F.flatten(F.transform(used, lambda p: F.slice("__words", (p["from_word"] + 1).cast("int"), p["n_words"].cast("int"))))
     whole = F.size(words) == F.size("__words")
     out = out.withColumn("__text", F.when(whole, F.col("text")).otherwise(F.array_join(words, " ")))
-    return out.select(*[F.col("__text").alias(c) if c == "text" else F.char_length("__text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    return out.select(*[F.col("__text").alias(c) if c == "text" else F.char_length("__text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -416,3 +416,45 @@ def test_large_groups_of_near_copies_are_split(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark, df, k=4, percent=85).collect()}
     assert got == {i: 0 if i < 1000 else i for i, _ in rows}
     assert len(tiles) == 1 and tiles[0] < 100  # about two blocks of 16, not the group of 300
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def table(rows):
+        return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], columns).repartition(3)
+
+    def kept(df):
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        got = df.collect()
+        assert all(r.n_chars == len(r.text or "") for r in got)
+        return Counter((r.doc_id, r.text) for r in got)
+
+    # quality: rows of one doc_id, and of none, are judged one by one
+    good = [f"In the year {i} the old harbour of the town was quiet, and people came to walk there in the evening. They spoke of the weather, and of ships number {i}." for i in range(12)]
+    junk = [f"$$$ {i} >>> !!! ### {i * 7} @@@ ||| {{}} ~~~ %%% ^^^ 000 {i} --- === +++ $$$ !!!" for i in range(12)]
+    spark.createDataFrame([(i, int(i < 100)) for i in [*range(8), *range(100, 108)]], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, t, "a") for i, t in enumerate(good[:8])] + [(100 + i, t, "a") for i, t in enumerate(junk[:8])]
+    rows += [(None, good[8], "a"), (None, junk[8], "a"), (50, good[9], "a"), (50, junk[9], "a"), (51, good[10], "b"), (51, good[10], "b"), (52, junk[10], "b"), (52, junk[10], "b")]
+    assert kept(cp.keep_quality(spark, table(rows), str(tmp_path))) == Counter((i, t) for i, t, _ in rows if t in good)
+
+    # lines: what operator 6 keeps of each row
+    rows = [(i, f"{LINE}\nown {i}", "a") for i in range(4)] + [(None, f"null\n{LINE}", "a"), (None, None, "a"), (2, f"x\n{LINE}\nsecond text", "a"), (2, "third text", "a"), (9, LINE, "a"), (9, f"{LINE}\n9", "a")]
+    want = Counter((i, None if t is None else t if i == 9 else "\n".join(y for y in t.split("\n") if y != LINE)) for i, t, _ in rows)
+    assert kept(cp.drop_lines(spark, table(rows), "")) == want
+
+    # near copies: by each row's own group; null doc_ids stay
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(1, A, "a"), (2, A + " tail", "a"), (None, A, "a"), (None, A, "a"), (1, A, "a"), (1, "of its own", "a"), (6, other, "a"), (6, other, "a"), (7, other, "a")]
+    assert kept(cp.one_of_each_group(spark, table(rows), "")) == Counter((i, t) for i, t, _ in rows if i not in (2, 7))
+
+    # mix: each row gives its own words, as often as operator 4 takes them
+    rows = [(i, n, s) for i, n, s in [(None, 150, "a"), (None, 90, "a"), (None, 70, None), (3, 200, "a"), (3, 130, "b"), (3, 40, "a"), (4, 64, "b"), (4, 64, "b"), (5, 300, None), (6, 0, "a"), (7, 500, "b")]]
+    docs = table([(i, " ".join(f"{i}-{n}-{j}" for j in range(n)), s) for i, n, s in rows])
+    want = Counter()
+    for r in mixing.taken_words(*mixing.mix_sources(spark, docs, weights=[3, 1, 2], share=1.5)).collect():
+        want[f"{r.doc_id}-{r['size']}"] += r.taken
+    took = Counter(w.rsplit("-", 1)[0] for (_, t), n in kept(cp.mix(spark, docs, "")).items() for w in t.split() * n)
+    assert took == +want and {"None-150", "None-90", "3-130"} & set(took)

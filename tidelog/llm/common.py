@@ -54,11 +54,24 @@ def columns_of(df: DataFrame) -> list[np.ndarray]:
     return [c.combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in table.columns]
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """doc_id and the UTF-8 bytes of the text; a null text counts as empty."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `__row`, a 128-bit hash of all columns: rows that share it are alike in everything, null or repeated doc_ids or not.
+
+    Operators return it if told to carry it, so that what they say of a row is joined to that row.  The
+    columns are hashed where they lie, by two seeds; which of them are null goes in too, since a null leaves a hash as it is.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *columns)), 16, "0") for seed in (1, 2)]
+    return docs.withColumn("__row", F.unhex(F.concat(*halves)))
+
+
+def id_text(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id and the UTF-8 bytes of the text; a null text counts as empty.  Binary columns to carry follow."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+        *carry,
     )
 
 
@@ -68,6 +81,14 @@ def rows_of(batches, *names):
         yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def ddl(carry) -> str:
+    return "".join(f", {c} binary" for c in carry)
+
+
+def fields(carry) -> list:
+    return [(c, pa.binary()) for c in carry]
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema

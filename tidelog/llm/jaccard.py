@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, components, discard, id_text, rolled, rows_of, stored, word_hashes
+from .common import batch, components, ddl, discard, fields, id_text, rolled, rows_of, stored, word_hashes
 
 #: Rows of a block of a large tile; a pair of blocks is compared in one piece.
 TILE_ROWS = 4096
@@ -112,13 +112,13 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sets(docs: DataFrame, k: int, below: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("low", pa.list_(pa.int64()))])
+def _sets(docs: DataFrame, k: int, below: int, carry: tuple) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("low", pa.list_(pa.int64())), *fields(carry)])
 
     def run(batches):
         from xxhash import xxh3_128_intdigest
 
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        for ids, texts, *rest in rows_of(batches, "doc_id", "text", *carry):
             for at in range(0, len(ids), 256):
                 n, c1, c2, low = [], [], [], []
                 for t in texts[at : at + 256]:
@@ -128,9 +128,9 @@ def _sets(docs: DataFrame, k: int, below: int) -> DataFrame:
                     c1.append((x >> 64) - (1 << 63))
                     c2.append((x & (1 << 64) - 1) - (1 << 63))
                     low.append(_long(s[: np.searchsorted(s, np.uint64(below))]))
-                yield batch(schema, ids[at : at + 256], n, c1, c2, low)
+                yield batch(schema, ids[at : at + 256], n, c1, c2, low, *[r[at : at + 256] for r in rest])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, low array<long>")
+    return id_text(docs, *carry).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, low array<long>" + ddl(carry))
 
 
 def _shared_bits(spark: SparkSession, repeated: DataFrame, n: int):
@@ -276,8 +276,8 @@ def _exact_links(spark: SparkSession, texts: DataFrame, loose: DataFrame, k: int
     return rows.groupBy("comp", "p", "q").applyInPandas(check, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable by links.
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, carry: tuple = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs, and its binary columns `carry`: component_id is the smallest doc_id reachable by links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
     sets of k-word shingles.  No link is lost: the prefix, the size band and
@@ -289,7 +289,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     document without partners.  An empty table gives no rows.  Only doc_id and text are read.
     """
     below = int((1 << 64) * min(0.9, (100 - percent) / 100 + 0.1))
-    sets = stored(spark, _sets(docs, k, below), "jaccard-sets")
+    sets = stored(spark, _sets(docs, k, below, carry), "jaccard-sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = stored(spark, classes, "jaccard-classes")
 
@@ -317,7 +317,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("comp", "rep").alias("component")
     )
     return sets.join(named, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & F.col("doc_id").isNotNull(), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *carry
     )
 
 

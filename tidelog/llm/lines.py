@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, mixed, rows_of, stored
+from .common import batch, ddl, fields, id_text, mixed, rows_of, stored
 
 STRIPPED = b" \t\n\x0b\f\r"
 SLOTS = 4
@@ -268,8 +268,8 @@ class LineIndex:
         keys = frequent.select("h1", "h2", "keep", F.explode(salts).alias("salt"))
         return rows.join(keys, ["h1", "h2", "salt"])
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_lines, n_dropped, kept_text): a frequent line stays only in its largest doc_id.
+    def apply(self, docs: DataFrame, carry: tuple = ()) -> DataFrame:
+        """(doc_id, n_lines, n_dropped, kept_text) and the binary columns `carry`: a frequent line stays only in its largest doc_id.
 
         Every line of such a key stays in that document.  A null or empty text is
         one empty line, which stays.  Rows repeated under one doc_id are
@@ -285,12 +285,12 @@ class LineIndex:
             .select(F.col("doc_id").alias("drop_id"), "drop")
         )
         least = self.least_chars
-        texts = id_text(docs)
-        rows = texts.join(drops, texts.doc_id.eqNullSafe(drops.drop_id), "left").select("doc_id", "text", "drop")
-        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string())])
+        texts = id_text(docs, *carry)
+        rows = texts.join(drops, texts.doc_id.eqNullSafe(drops.drop_id), "left").select("doc_id", "text", "drop", *carry)
+        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string()), *fields(carry)])
 
         def rebuild(batches):
-            for ids, texts_, drops_ in rows_of(batches, "doc_id", "text", "drop"):
+            for ids, texts_, drops_, *rest in rows_of(batches, "doc_id", "text", "drop", *carry):
                 n, gone, kept = [], [], []
                 for t, d in zip(texts_, drops_):
                     if not d:
@@ -305,9 +305,9 @@ class LineIndex:
                     n.append(len(lines))
                     gone.append(len(out))
                     kept.append(b"\n".join([x for i, (x, _) in enumerate(lines) if i not in out]).decode())
-                yield batch(schema, ids, n, gone, kept)
+                yield batch(schema, ids, n, gone, kept, *rest)
 
-        return rows.mapInArrow(rebuild, "doc_id long, n_lines long, n_dropped long, kept_text string")
+        return rows.mapInArrow(rebuild, "doc_id long, n_lines long, n_dropped long, kept_text string" + ddl(carry))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

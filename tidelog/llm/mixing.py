@@ -68,8 +68,9 @@ def mix_sources(
     block: int = 64,
     shard_slots: int = 4096,
     seed: int = 17,
+    carry: tuple = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Two tables: documents (doc_id, source, size, source_size, target, at) and the mix
+    """Two tables: documents (doc_id, source, size, source_size, target, at, and the columns `carry`) and the mix
     (shard, slot, source_key, block, at, from_word, n_words), a row for each piece of a document that a slot holds.
 
     `at` is a document's first word in its source's stream; with source_key it
@@ -93,6 +94,7 @@ def mix_sources(
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key"),
             F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -113,7 +115,7 @@ def mix_sources(
     # Offsets: inside small buckets, then over the totals of buckets.
     many = max(1, sum(r.n for r in totals) // 4096)
     b = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(many)))
-    inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = b.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     starts = starts.select("source_key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
@@ -122,7 +124,7 @@ def mix_sources(
         b.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, ["source_key", "bucket"])
         .join(F.broadcast(facts.select("source_key", "source_size", "target")), "source_key")
-        .select("doc_id", "source", "source_key", "size", "source_size", "target", (F.col("start") + F.col("inner")).alias("at"))
+        .select("doc_id", "source", "source_key", "size", "source_size", "target", (F.col("start") + F.col("inner")).alias("at"), *carry)
     )
     placed = stored(spark, placed, "mix-placed")
 

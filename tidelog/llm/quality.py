@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, rows_of, stored
+from .common import batch, ddl, fields, id_text, rows_of, stored
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "word_spread", "distinct", "top_word", "adjacent", "upper", "digit", "symbol",
@@ -78,15 +78,15 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): statistics of each whole text.  doc_id is carried, never used."""
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+def features(docs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """(doc_id, x): statistics of each whole text.  doc_id and the binary columns `carry` are carried, never used."""
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64())), *fields(carry)])
 
     def run(batches):
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            yield batch(schema, ids, [statistics(t) for t in texts])
+        for ids, texts, *rest in rows_of(batches, "doc_id", "text", *carry):
+            yield batch(schema, ids, [statistics(t) for t in texts], *rest)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, x array<double>")
+    return id_text(docs, *carry).mapInArrow(run, "doc_id long, x array<double>" + ddl(carry))
 
 
 @dataclass
@@ -162,20 +162,20 @@ def fit(feats: DataFrame, labels: DataFrame, shrink: float = 0.1) -> Discriminan
     return Discriminant.fit([float(a[0]) for a in acc], [a[1 : 1 + d] for a in acc], [a[1 + d :].reshape(d, d) for a in acc], shrink)
 
 
-def scored(feats: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def scored(feats: DataFrame, model: Discriminant, threshold: float = 0.7, carry: tuple = ()) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), *fields(carry)])
 
     def run(batches):
-        for ids, x in rows_of(batches, "doc_id", "x"):
+        for ids, x, *rest in rows_of(batches, "doc_id", "x", *carry):
             if ids:
-                yield batch(schema, ids, model.score(np.array(x)).tolist())
+                yield batch(schema, ids, model.score(np.array(x)).tolist(), *rest)
 
-    out = feats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = feats.select("doc_id", "x", *carry).mapInArrow(run, "doc_id long, score double" + ddl(carry))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row for each row of docs.
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry: tuple = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted), a row for each row of docs, and its binary columns `carry`.
 
     Only the text is an input of a score.  Texts are read once; statistics (20
     numbers a document) are stored and used for both the fit and the scores.
@@ -184,8 +184,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
     label; labels other than 0 and 1 are left out.  A doc_id with several labels counts
     with each.  Without labels all scores are 0.5.  An empty table gives no rows.
     """
-    feats = stored(spark, features(docs), "quality-stats")
-    return scored(feats, fit(feats, labels), threshold)
+    feats = stored(spark, features(docs, carry), "quality-stats")
+    return scored(feats, fit(feats, labels), threshold, carry)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
