@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,9 +29,9 @@ def exact_dedup(
     Two rows are equal when their texts, A-Z lowered, hold the same bytes.  The
     smallest (keep="min") or largest (keep="max") doc_id of a group stays.
 
-    Only hashes are shuffled for all rows (counts are combined before the
-    shuffle, so one huge group costs one row a task); texts move by doc_id, and
-    beyond that only those of groups with two rows or more.
+    Rows are grouped by hash and, inside it, by the bytes; copies are combined before the
+    shuffle, so one huge group costs one row a task.  What is said of a group goes back to its
+    rows by its hash and the text's SHA-256, so texts move once.
 
     Nulls: a null text equals the empty text; a null doc_id counts in its group
     and stays only if the group has no other.  Rows repeated under one doc_id
@@ -42,57 +42,24 @@ def exact_dedup(
     pick = {"min": F.min, "max": F.max}[keep]
     norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
-    sig = stored(
-        spark,
-        texts.select("doc_id", hashed(F.col("norm")).alias("h"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")),
-        "dedup-sig",
-    )
-    multi = stored(spark, sig.groupBy("h").agg(F.count("*").alias("n"), pick("doc_id").alias("rep")).where("n > 1"), "dedup-groups")
-
-    # The bytes of rows that share their hash with another row.
-    suspects = sig.join(multi, "h").select("doc_id", "h", "rep").distinct()
-    t = texts.withColumn("th", hashed(F.col("norm")))
-    members = stored(
-        spark,
-        t.join(suspects, t.doc_id.eqNullSafe(suspects.doc_id) & (t.th == suspects.h)).select(t.doc_id, "h", "rep", "norm"),
-        "dedup-members",
-    )
-    reps = members.where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("h").agg(F.min("norm").alias("rep_norm"))
-    differing = stored(
-        spark, members.join(reps, "h").where(F.col("norm") != F.col("rep_norm")).select("doc_id", "h", "norm"), "dedup-differing"
-    )
+    digest = F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
 
-    found = sig.join(multi, "h", "left").select(
-        "doc_id", "h", "sha", F.coalesce("rep", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size")
-    )
-    if not differing.isEmpty():
-        found = _split_collisions(found, differing, pick)
-    discard(spark, members)
+    # Groups of equal bytes; only those of several rows say anything that a row doesn't know itself.
+    alike = texts.groupBy(hashed(F.col("norm")).alias("gh"), "norm").agg(F.count("*").alias("n"), pick("doc_id").alias("rep"))
+    groups = stored(spark, alike.where("n > 1").select("gh", digest.alias("gsha"), "n", "rep"), "dedup-groups")
+
+    sig = texts.select("doc_id", hashed(F.col("norm")).alias("h"), digest.alias("sha"))
+    found = sig.join(groups, (F.col("h") == F.col("gh")) & (F.col("sha") == F.col("gsha")), "left")
+    size, stays = F.coalesce("n", F.lit(1)), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("rep"))
     return found.select(
         "doc_id",
-        "keep_id",
-        F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        stays.alias("keep_id"),
+        size.cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(stays).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def _split_collisions(found: DataFrame, differing: DataFrame, pick) -> DataFrame:
-    """Rows whose bytes differ from their group's representative, regrouped by the bytes themselves."""
-    sha = F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
-    own = differing.groupBy("h", "norm").agg(F.count("*").alias("own_n"), pick("doc_id").alias("own_keep"))
-    own = own.select(F.col("h").alias("oh"), sha.alias("osha"), "own_n", "own_keep")
-    less = differing.groupBy(F.col("h").alias("lh")).agg(F.count("*").alias("less"))
-    out = found.join(own, (found.h == own.oh) & (found.sha == own.osha), "left").join(less, F.col("h") == F.col("lh"), "left")
-    return out.select(
-        "doc_id",
-        "h",
-        "sha",
-        F.when(F.col("own_n").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("own_n", F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"),
-    )
-
-
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
 
