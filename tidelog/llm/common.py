@@ -7,7 +7,6 @@ sides of the operators work on the bytes of whole texts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,34 +17,53 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Folders of stored tables, in the order of writing; empty where discarded.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; set here only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        if found:
-            return found
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base
 
 
-def stored(spark: SparkSession, df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(spark: SparkSession, df: DataFrame, tag: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """df written to the shared folder, in folders by the column `by` if named, and read back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    _WRITTEN.append(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of stored() tables that nothing lazy still reads."""
     for df in frames:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, df._stored_at)
+        _WRITTEN[:] = ["" if path == df._stored_at else path for path in _WRITTEN]
+
+
+def written() -> int:
+    """A mark for sweep(): how many tables have been stored so far."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables stored since a mark but those to keep: for when all that read them has been stored."""
+    kept = {df._stored_at for df in keep}
+    for i in range(since, len(_WRITTEN)):
+        if _WRITTEN[i] and _WRITTEN[i] not in kept:
+            _delete(spark, _WRITTEN[i])
+            _WRITTEN[i] = ""
 
 
 def columns_of(df: DataFrame) -> list[np.ndarray]:
@@ -75,10 +93,12 @@ def id_text(docs: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def rows_of(batches, *names):
-    """Python values of the named columns, batch by batch."""
-    for b in batches:
-        yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
+def rows_of(batches, *names, most: int = 1024):
+    """Python values of the named columns, at most so many rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, most):
+            b = whole.slice(at, most)
+            yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
 
 
 def ddl(carry) -> str:
@@ -108,52 +128,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, as many as the longest text so far needs."""
-    if len(_POWERS[0]) < n:
-        size = 1 << max(16, n.bit_length())
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS
-
-
-def spans_hashed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of h[lo:hi] for each pair, from prefix sums; equal content and length, equal hash."""
-    power, inverse = _powers(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * power[: len(h)], out=sums[1:])
-    return mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
+#: Words up to so many bytes are hashed eight bytes at a time, all texts' words together; longer ones by the library, one by one.
+_SHORT = 64
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
+
+
+def _stirred(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, order kept; neither linear nor polynomial in them."""
+    x = a * _ODD[0]
+    x ^= x >> np.uint64(29)
+    x += b
+    x *= _ODD[1]
+    x ^= x >> np.uint64(32)
+    x *= _ODD[2]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a whole text, without a Python object for each word."""
+    """A 64-bit hash of each word of a whole text, without a Python object for each word of up to 64 bytes."""
     if not text:
         return np.empty(0, np.uint64)
-    b = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[b]
+    raw = np.frombuffer(text + bytes(8), np.uint8)
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[raw[: len(text)]]
     step = np.diff(inside)
-    return spans_hashed(b.astype(np.uint64) + np.uint64(1), np.flatnonzero(step == 1), np.flatnonzero(step == -1))
+    lo, size = np.flatnonzero(step == 1), None
+    size = np.flatnonzero(step == -1) - lo
+    # eight bytes from each place of the text, little-endian
+    eight = np.lib.stride_tricks.as_strided(raw, (len(text) + 1, 8), (1, 1))
+    out = size.astype(np.uint64)
+    at, left, which = lo, size, slice(None)
+    for _ in range(_SHORT // 8):
+        if not len(at):
+            break
+        part = np.ascontiguousarray(eight[at]).view("<u8").ravel()
+        part = np.where(left < 8, part & _LOW_BYTES[np.minimum(left, 7)], part)
+        out[which] = _stirred(out[which], part)
+        more = np.flatnonzero(left > 8)
+        which = more if isinstance(which, slice) else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    if (size > _SHORT).any():
+        from xxhash import xxh3_64_intdigest
+
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            out[i] = xxh3_64_intdigest(text[lo[i] : lo[i] + size[i]], seed=0x5EED)
+    return out
 
 
 def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """A hash of each k consecutive word hashes."""
+    """A hash of each k consecutive word hashes, of pieces whose lengths are powers of two."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(0x9E3779B97F4A7C15 + salt), np.uint64)
-    m = np.uint64(0x100000001B3 + 2 * salt)
-    for i in range(k):
-        out *= m
-        out += h[i : i + n]
-        out ^= out >> np.uint64(29)
-    return mixed(out)
+    out, done, piece, size = np.full(n, salt + k, np.uint64), 0, h, 1
+    while size <= k:
+        if k & size:
+            out = _stirred(out, piece[done : done + n])
+            done += size
+        if 2 * size <= k:
+            piece = _stirred(piece[: len(piece) - size], piece[size:])
+        size *= 2
+    return out
 
 
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) -> DataFrame:

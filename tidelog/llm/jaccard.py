@@ -163,7 +163,7 @@ def _postings(texts: DataFrame, k: int, percent: int, below: int, hot, shared) -
                 keys, nodes, ns, bits = [], [], [], []
                 for d, t in zip(ids[at : at + 128], texts_[at : at + 128]):
                     s = shingle_set(t, k)
-                    n = len(s)
+                    whole, n = s, len(s)
                     if not n:
                         continue
                     is_hot = np.zeros(n, bool)
@@ -176,7 +176,7 @@ def _postings(texts: DataFrame, k: int, percent: int, below: int, hot, shared) -
                     keys.append(mine)
                     nodes += [d] * len(mine)
                     ns += [n] * len(mine)
-                    bits += [parity_bits(shingle_set(t, k)).tobytes()] * len(mine) if len(mine) else []
+                    bits += [parity_bits(whole).tobytes()] * len(mine) if len(mine) else []
                 if keys:
                     yield batch(schema, pa.array(_long(np.concatenate(keys))), nodes, ns, bits)
 

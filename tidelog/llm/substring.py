@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, columns_of, id_text, mixed, rolled, rows_of, spans_hashed, stored, word_hashes
+from .common import batch, columns_of, id_text, mixed, rolled, rows_of, stored, word_hashes
 
 #: Anchors with more contexts than this have their windows counted instead.
 MOST = 2000
@@ -109,6 +109,12 @@ def segments(h: np.ndarray, window: int, k: int):
     return g[at[lo]], lo, hi
 
 
+def contexts_hashed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of each segment's words h[lo : hi + window]: its first and last window overlap, so they hold all of them."""
+    whole = rolled(h, window)
+    return mixed(whole[lo] * np.uint64(0xD6E8FEB86659FD93) ^ mixed(whole[hi] + (hi - lo).astype(np.uint64)))
+
+
 def _key(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mixed(anchor * np.uint64(0x9FB21C651E98DF25) + context)
 
@@ -140,7 +146,7 @@ def verdicts(spark: SparkSession, docs: DataFrame, window: int, k: int, most: in
                     a, lo, hi = segments(h, window, k)
                     if len(a):
                         cols[0].append(a)
-                        cols[1].append(spans_hashed(h, lo, hi + window))
+                        cols[1].append(contexts_hashed(h, lo, hi, window))
                         cols[2].append(hi - lo + 1)
                 if cols[0]:
                     a, c, n = map(np.concatenate, cols)
@@ -182,7 +188,7 @@ def _resolved(spark: SparkSession, docs: DataFrame, several: DataFrame, window:
                     a, lo, hi = segments(h, window, k)
                     if not len(a):
                         continue
-                    a = a.view(np.int64)
+                    a, c = a.view(np.int64), contexts_hashed(h, lo, hi, window).view(np.int64)
                     if picked:
                         if not many:
                             continue
@@ -194,7 +200,7 @@ def _resolved(spark: SparkSession, docs: DataFrame, several: DataFrame, window:
                         lo, hi = lo[keep], hi[keep]
                         raw = h.tobytes()
                         out[0].append(a[keep])
-                        out[1].append(spans_hashed(h, lo, hi + window).view(np.int64))
+                        out[1].append(c[keep])
                         out[2] += [raw[8 * x : 8 * (y + window)] for x, y in zip(lo.tolist(), hi.tolist())]
                 if out[0]:
                     yield batch(schema, pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), out[2])
@@ -225,7 +231,7 @@ def _resolved(spark: SparkSession, docs: DataFrame, several: DataFrame, window:
             for a, c, n, x in zip(*cols_):
                 h = np.frombuffer(x, np.uint64)
                 lo = np.arange(len(h) - window + 1)
-                w = spans_hashed(h, lo, lo + window)
+                w = rolled(h, window)
                 key = _key(np.array([a], np.int64).view(np.uint64), np.array([c], np.int64).view(np.uint64)).view(np.int64)[0]
                 yield batch(one, [int(key)] * len(lo), lo.tolist(), pa.array(w.view(np.int64)), [n] * len(lo))
 
@@ -284,7 +290,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, k: in
                         a, lo, hi = segments(h, window, k)
                         gone = np.zeros(len(h), bool)
                         if len(a) and len(keys):
-                            key = _key(a, spans_hashed(h, lo, hi + window)).view(np.int64)
+                            key = _key(a, contexts_hashed(h, lo, hi, window)).view(np.int64)
                             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                             hit = np.flatnonzero(keys[at] == key)
                             if len(hit):
@@ -301,7 +307,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, k: in
             for r, t in zip(rows_, texts):
                 h = word_hashes(t)
                 a, lo, hi = segments(h, window, k)
-                key = _key(a, spans_hashed(h, lo, hi + window)).view(np.int64)
+                key = _key(a, contexts_hashed(h, lo, hi, window)).view(np.int64)
                 yield batch(keyed, [r] * len(lo), pa.array(lo.astype(np.int32)), pa.array(key))
 
     texts = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
