@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, ddl, fields, id_text, mixed, rows_of, stored
+from .common import batch, ddl, discard, fields, id_text, mixed, rows_of, stored
 
 STRIPPED = b" \t\n\x0b\f\r"
 SLOTS = 4
@@ -130,13 +130,13 @@ class LineIndex:
     delete() touch the keys of the documents given.  A key's rows are summed
     before the shuffle, so a line in a third of all documents is one row a task.
 
-    Every row given is one document: rows repeated under one doc_id count
-    again.  A null text holds one empty line; a null doc_id holds its lines but is
-    never the one that keeps them, unless all its holders are null.
+    A document is a doc_id: rows repeated under one, and rows of several inserts, count
+    once for each key that any of them holds.  A null text holds one empty line.  The rows with a null
+    doc_id together count as one document, which is never the one that keeps a line.
     """
 
-    #: Filters go to the executors whole up to this size; beyond it lines go straight to the exact table.
-    MOST_FILTER_BYTES = 64 << 20
+    #: Filters are asked in rounds; those of one round go to the executors whole and have so many bytes, or are one shard's.
+    ROUND_BYTES = 64 << 20
     #: A key with 1 / HEAVY_KEYS of all rows is joined in SALTS parts; there are HEAVY_KEYS such keys at most.
     HEAVY_KEYS, SALTS = 1000, 64
 
@@ -214,7 +214,12 @@ class LineIndex:
         self.filters = stored(self.spark, new, "line-filters")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = stored(self.spark, self._postings(docs), "line-postings")
+        rows = self._postings(docs).distinct()
+        if self.postings is not None:  # a document that held the line before counts no second time
+            held = self.postings.select(*[F.col(c).alias(f"held_{c}") for c in self.postings.columns])
+            same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in self.postings.columns]
+            rows = rows.join(held, same[0] & same[1] & same[2], "left_anti")
+        new = stored(self.spark, rows, "line-postings")
         change = new.groupBy("h1", "h2").agg(F.count("*").alias("dn"), F.max("doc_id").alias("top"))
         if self.counts is not None:
             old = self.counts.select("h1", "h2", "keep")
@@ -236,26 +241,52 @@ class LineIndex:
         return self
 
     def _asked(self, docs: DataFrame) -> DataFrame:
-        """(h1, h2, doc_id) of lines that the filters know; all long lines where filters are too large to send."""
-        size = self.filters.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)).alias("n")).first().n
-        if size > self.MOST_FILTER_BYTES:
-            return self._postings(docs)
-        sent = self.spark.sparkContext.broadcast({r.shard: r.blob for r in self.filters.collect()})
-        shards = self.shards
-        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
+        """(h1, h2, doc_id) of lines that the filters know.
 
-        def known(batches):
-            have = {s: CuckooFilter.of(b) for s, b in sent.value.items()}
-            for b in batches:
-                h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64)
-                shard, hit = h1 % shards, np.zeros(len(h1), bool)
-                for s in np.unique(shard).tolist():
-                    if s in have:
-                        at = np.flatnonzero(shard == s)
-                        hit[at] = have[s].contains(h2[at])
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in b.columns], schema=schema)
+        Lines are stored by round of filters and each round's lines meet its filters where they lie, so no filter
+        is passed by, no line is shuffled, and an executor holds one round's filters whatever their total.
+        """
+        sizes = self.filters.select("shard", F.octet_length("blob").alias("n")).orderBy("shard").collect()  # a row a shard
+        rounds, now, size = {}, 0, 0
+        for r in sizes:
+            if size and size + r.n > self.ROUND_BYTES:
+                now, size = now + 1, 0
+            rounds[r.shard], size = now, size + r.n
+        schema, cols = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())]), "h1 long, h2 long, doc_id long"
+        shards = self.shards
 
-        return self._postings(docs).mapInArrow(known, "h1 long, h2 long, doc_id long")
+        def known_by(sent):
+            def known(batches):
+                have = {s: CuckooFilter.of(b) for s, b in sent.value.items()}
+                for b in batches:
+                    h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64)
+                    shard, hit = h1 % shards, np.zeros(len(h1), bool)
+                    for s in np.unique(shard).tolist():
+                        if s in have:
+                            at = np.flatnonzero(shard == s)
+                            hit[at] = have[s].contains(h2[at])
+                    yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(hit)) for i in range(3)], schema=schema)
+
+            return known
+
+        def sent_of(shards_):
+            return self.spark.sparkContext.broadcast({r.shard: r.blob for r in self.filters.where(F.col("shard").isin(shards_)).collect()})
+
+        if now == 0:
+            return self._postings(docs).mapInArrow(known_by(sent_of(list(rounds))), cols)
+        # the shards of a round follow each other: its number is that of the last round begun at or below the shard
+        first = [min(s for s, x in rounds.items() if x == i) for i in range(1, now + 1)]
+        begun = F.array(*[F.lit(x) for x in first])
+        rows = self._sharded(self._postings(docs)).withColumn("round", F.size(F.filter(begun, lambda x: x <= F.col("shard")))).drop("shard")
+        rows = stored(self.spark, rows, "line-rounds", by="round")
+        out = None
+        for i in range(now + 1):
+            sent = sent_of([s for s, x in rounds.items() if x == i])
+            found = stored(self.spark, rows.where(F.col("round") == i).select("h1", "h2", "doc_id").mapInArrow(known_by(sent), cols), "line-known")
+            out = found if out is None else out.unionByName(found)
+            sent.destroy()
+        discard(self.spark, rows)
+        return out
 
     def _salted(self, asked: DataFrame, frequent: DataFrame) -> DataFrame:
         """asked joined with its frequent keys.  Keys with a thousandth of all rows, so a thousand at most, are dealt by doc_id too."""
@@ -271,9 +302,9 @@ class LineIndex:
     def apply(self, docs: DataFrame, carry: tuple = ()) -> DataFrame:
         """(doc_id, n_lines, n_dropped, kept_text) and the binary columns `carry`: a frequent line stays only in its largest doc_id.
 
-        Every line of such a key stays in that document.  A null or empty text is
-        one empty line, which stays.  Rows repeated under one doc_id are
-        treated alike.  An empty table gives no rows.
+        Every line of such a key stays in all rows of that document.  A null or empty text is
+        one empty line, which stays.  Rows repeated under one doc_id are treated alike, each with its own
+        lines.  An empty table gives no rows.  Only doc_id, text and `carry` are read.
         """
         frequent = self.counts.where(F.col("n") >= self.least_docs).select("h1", "h2", "keep", "n")
         drops = (
@@ -317,17 +348,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, line, length(k) >= 40 AS long_key, k
-  FROM (SELECT doc_id, i, line,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT r, doc_id, i, line, length(k) >= 40 AS long_key, k
+  FROM (SELECT r, doc_id, i, line,
                translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents))),
-f AS (SELECT k, max(doc_id) AS keep FROM l WHERE long_key GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT l.doc_id, l.i, l.line, f.k IS NOT NULL AND l.doc_id <> f.keep AS dropped
+        FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+                     generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d))),
+f AS (SELECT k, max(doc_id) AS keep FROM l WHERE long_key GROUP BY k
+      HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5),
+m AS (SELECT l.r, l.doc_id, l.i, l.line, f.k IS NOT NULL AND l.doc_id IS DISTINCT FROM f.keep AS dropped
       FROM l LEFT JOIN f ON l.long_key AND l.k = f.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
