@@ -94,8 +94,8 @@ def test_ring_rules(spark):
     assert [r.now for r in moved] == ["n4"] and moved[0]["count"] < 1200
     with pytest.raises(Exception, match="more replicas than nodes"):
         placed.select(R.replicas(F.col("pref"), 5)).collect()
-    with pytest.raises(ValueError):
-        R.place(keys, three.where("lo < -5"))
+    with pytest.raises(Exception, match="the ring is empty"):
+        R.place(keys, R.arcs(R.ring(names(spark, "n1").where("false"), 10))).collect()
     assert sum(r.positions for r in R.ownership(three).collect()) == 1 << 32
 
 
@@ -166,3 +166,53 @@ def test_streamed_liveness(spark, tmp_path):
         assert {(r.node, r.heartbeat, r.status) for r in spark.table("live").collect()} == {("n", 4, "ALIVE"), ("m", 2, "ALIVE")}
     finally:
         q.stop()
+
+
+def test_put_flushes_a_full_table_and_clear_forgets_the_log(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    ops = lambda *rows: spark.createDataFrame([(i, "n", op, k, v) for i, op, k, v in rows], "seq long, node string, op string, key string, value string")
+    assert s.put(ops((0, "PUT", "a", "x" * 10)), limit=30) is None and s.entry_count() == 1
+    assert s.put(ops((1, "PUT", "b", "y" * 30)), limit=30) == 0 and s.entry_count() == 0
+    assert s.replay().isEmpty() and len(s.files()) >= 1 and "gen=0" in s.files()[0]
+    s.put(ops((2, "DELETE", "a", ""), (3, "PUT", "c", "z")))
+    assert table(s.table()) == {"b": "y" * 30, "c": "z"} and s._read("log", OPLOG).where("ts is null").isEmpty()
+    s.clear()
+    assert s.entry_count() == 0 and table(Store(spark, str(tmp_path)).table()) == {"a": "x" * 10, "b": "y" * 30}
+    assert s.put(ops((4, "PUT", "c", "w")), limit=1) == 1 and table(s.get("c")) == {"c": "w"}
+
+
+def test_a_demo_of_all_parts(spark):
+    """The seven parts in sequence: store rows, ring, clocks, hash trees, membership, log, cluster."""
+    now = F.lit("2030-01-01").cast("timestamp")
+    nodes = spark.createDataFrame([("n1", 0, False), ("n2", 1, False), ("n3", 2, False)], NODES)
+    data = log(spark, (0, ("PUT", "key:1", "val1")), (1, ("PUT", "key:2", "val2")), (2, ("DELETE", "key:1", "")))
+    assert table(L.visible(data)) == {"key:2": "val2"}
+    placed = R.place(spark.createDataFrame([("key:1",), ("key:2",)], "key string"), R.arcs(R.ring(nodes, 50)))
+    puts = D.put_placement(placed, nodes)
+    assert all(len(r.written) == 2 and r.failed == [] for r in puts.collect())
+    clocks = D.stamped(spark.createDataFrame([], "key string, vc map<string,bigint>"), placed.select("key", F.col("pref")[0].alias("coordinator")))
+    assert all(list(r.vc.values()) == [1] for r in clocks.collect())
+    a = spark.createDataFrame([(f"key:{i}", f"val{i}") for i in range(1, 5)], "key string, value string")
+    b = a.withColumn("value", F.when(F.col("key") == "key:3", "DIVERGENT_VALUE").otherwise(F.col("value")))
+    assert T.diff(T.leaves(a, 8), T.leaves(b, 8)).count() == 1 and T.built(T.leaves(a, 8)).first() == (8, False)
+    members = G.joined(nodes, now)
+    for n in ("n1", "n2", "n3"):
+        members = G.introduced(members, n, now)
+    beaten = G.rounds(members, nodes, [now, now])
+    assert {r.heartbeat for r in beaten.collect()} == {2} and beaten.count() == 9
+    killed = D.switched(nodes, spark.createDataFrame([(0, "n2", True)], "seq long, node string, kill boolean"))
+    assert {r.node: r.status for r in G.view(beaten, "n1", killed, now, 200).collect()} == {"n1": "ALIVE", "n2": "DEAD", "n3": "ALIVE"}
+    holdings = puts.select("key", F.lit("v").alias("value"), F.explode("written").alias("node"))
+    found = D.failover_get(placed, holdings, killed, F.lit("n2")).collect()
+    assert {r.key for r in found} == {"key:1", "key:2"} and all(r.failover and r.node != "n2" for r in found)
+    with pytest.raises(ValueError, match="two nodes"):
+        T.node_diff(holdings, nodes.where("ord = 0"))
+
+
+def test_malformed_escapes_are_kept_one_by_one(spark):
+    from tidelog.functions import scalars as S
+
+    rows = ["a%20b%zz+c", "?key=a b", "?key=%zz&x=1", "%", "%4", "%%41", "", None, "?nokey=1&key=2", "\n?key=x\ny&z"]
+    got = spark.createDataFrame([(x,) for x in rows], "t string").select(S.url_decode("t"), S.query_parameter("t", "key")).collect()
+    assert [r[0] for r in got][:1] + [r[0] for r in got][3:8] == ["a b%zz c", "%", "%4", "%A", "", None]
+    assert [r[1] for r in got] == ["", "a b", "%zz", "", "", "", "", None, "1", "x\ny"]

@@ -57,12 +57,20 @@ def json_int(body: Column | str, field: str, default: int) -> Column:
 
 
 def url_decode(x: Column | str) -> Column:
-    """Percent-decoding with + as space; a malformed text is kept as it is."""
-    return F.coalesce(F.try_url_decode(_c(x)), _c(x))
+    """Percent-decoding with + as space, escape by escape: a malformed one is kept as it stands.
+
+    Bytes that aren't UTF-8 are replaced as Spark does.
+    """
+    plain = F.replace(_c(x), F.lit("+"), F.lit(" "))
+    parts = F.regexp_extract_all(plain, F.lit("(%[0-9A-Fa-f]{2}|%|[^%]+)"), F.lit(1))
+    coded = lambda p: (F.length(p) == 3) & p.rlike("^%[0-9A-Fa-f]{2}$")
+    hexed = F.transform(parts, lambda p: F.when(coded(p), F.substring(p, 2, 2)).otherwise(F.hex(p.cast("binary"))))
+    return F.when(F.instr(plain, "%") == 0, plain).otherwise(F.decode(F.unhex(F.array_join(hexed, "")), "UTF-8"))
 
 
 def query_parameter(url: Column | str, name: str) -> Column:
-    return url_decode(F.parse_url(_c(url), F.lit("QUERY"), F.lit(name)))
+    """The decoded text after the first `name=`, up to the next &; empty where there is none.  Any text will do as a URL."""
+    return url_decode(F.regexp_extract(_c(url), f"(?s){name}=([^&]*)", 1))
 
 
 def vnode_name(node: Column | str, i: Column) -> Column:
@@ -84,3 +92,13 @@ def percent(count: Column, full: int = 4) -> Column:
 
 def node_name(x: Column | str) -> Column:
     return F.lower(F.trim(_c(x)))
+
+
+def verdict_text(code: Column) -> Column:
+    """The name of a comparison's outcome: 0 equal, 1 before, 2 after, 3 concurrent."""
+    return F.element_at(F.array(*map(F.lit, ("EQUAL", "BEFORE", "AFTER", "CONCURRENT"))), code + 1)
+
+
+def monotonic_ms(as_of: Column, start: Column) -> Column:
+    """Milliseconds since a start, never less than zero; time is an argument, so tests give their own."""
+    return F.greatest(F.lit(0), F.unix_millis(as_of) - F.unix_millis(start))

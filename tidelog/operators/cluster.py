@@ -6,9 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A cluster's nodes are configuration; their names stand in the plan, so many at most.
+MOST_NODES = 100_000
+
+
+def _names(nodes: DataFrame, which: str) -> Column:
+    rows = nodes.where(which).select("node", "ord").limit(MOST_NODES + 1).collect()  # literal rows need no job
+    if len(rows) > MOST_NODES:
+        raise ValueError("too many nodes for a plan")
+    return F.array(*[F.lit(r.node) for r in sorted(rows, key=lambda r: (r.ord, r.node))]).cast("array<string>")
+
+
 def _dead(nodes: DataFrame) -> Column:
-    """Names of disabled nodes; the cluster's node list is configuration."""
-    return F.array(*[F.lit(r.node) for r in nodes.where("disabled").select("node").orderBy("node").collect()]).cast("array<string>")
+    """Names of disabled nodes."""
+    return _names(nodes, "disabled")
 
 
 def route(placed: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
@@ -37,32 +48,111 @@ def coordinator(requested: Column, known: Column, owner: Column) -> Column:
     return F.when(F.array_contains(known, requested), requested).otherwise(owner)
 
 
-def failover_get(placed: DataFrame, holdings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, value, failover): the first live candidate, in ring order, that holds a value."""
+def failover_get(placed: DataFrame, holdings: DataFrame, nodes: DataFrame, requested: Column | None = None) -> DataFrame:
+    """(key, node, value, failover): the first live candidate that holds a value.
+
+    Candidates are the requested node, the ring from the key's owner on, then the cluster's nodes in their
+    order.  `failover` says that a node was requested (neither null nor empty) and another one answered.
+    """
     dead = _dead(nodes)
-    candidates = placed.select("key", F.col("pref")[0].alias("owner"), F.posexplode("pref").alias("place", "node")).where(~F.array_contains(dead, F.col("node")))
-    found = candidates.join(holdings, ["key", "node"])
-    best = found.groupBy("key").agg(F.min_by(F.struct("node", "value", "owner"), "place").alias("b"))
-    return best.select("key", "b.node", "b.value", (F.col("b.node") != F.col("b.owner")).alias("failover"))
+    asked = F.nullif(requested if requested is not None else F.lit(None).cast("string"), F.lit(""))
+    order = F.array_distinct(F.concat(F.array_compact(F.array(asked)), F.col("pref"), _names(nodes, "true")))
+    live = F.filter(order, lambda n: ~F.array_contains(dead, n))
+    candidates = placed.select("key", asked.alias("asked"), F.posexplode(live).alias("place", "node"))
+    found = candidates.join(holdings.select("key", "node", "value"), ["key", "node"])
+    best = found.groupBy("key").agg(F.min_by(F.struct("node", "value", "asked"), "place").alias("b"))
+    return best.select("key", "b.node", "b.value", F.coalesce(F.col("b.node") != F.col("b.asked"), F.lit(False)).alias("failover"))
+
+
+def newest_get(placed: DataFrame, holdings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, value): of the live replicas' values (holdings with seq) the newest one."""
+    live = holdings.where(~F.array_contains(_dead(nodes), F.col("node"))).join(placed.select("key"), "key", "left_semi")
+    best = live.groupBy("key").agg(F.max_by(F.struct("node", "value"), F.struct("seq", "node")).alias("b"))
+    return best.select("key", "b.node", "b.value")
 
 
-def inventory(placed: DataFrame, holdings: DataFrame, rf: int = 2) -> DataFrame:
-    """(key, owner, targets, holding, missing, in_sync)."""
+def stamped(clocks: DataFrame, puts: DataFrame) -> DataFrame:
+    """(key, vc): clocks after puts (key, coordinator): each put adds one to its coordinator's counter, keys without a clock begin one."""
+    one = puts.groupBy("key", F.col("coordinator").alias("server")).agg(F.count("*").alias("n"))
+    was = clocks.select("key", F.explode("vc").alias("server", "n"))
+    sums = was.unionByName(one.select("key", "server", "n")).groupBy("key", "server").agg(F.sum("n").alias("n"))
+    return sums.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("server", "n")))).alias("vc"))
+
+
+def known_keys(holdings: DataFrame, clocks: DataFrame) -> DataFrame:
+    """(key): the keys that any node holds or any clock names."""
+    return holdings.select("key").union(clocks.select("key")).distinct()
+
+
+def inventory(placed: DataFrame, holdings: DataFrame, rf: int = 2, clocks: DataFrame | None = None) -> DataFrame:
+    """(key, owner, targets, holding, missing, in_sync).  With clocks (key, vc), `vc` follows; `placed` holds the keys of both (`known_keys`)."""
     holders = holdings.groupBy("key").agg(F.collect_set("node").alias("holders"))
     targets = F.slice("pref", 1, rf)
     rows = placed.select("key", F.col("pref")[0].alias("owner"), targets.alias("targets")).join(holders, "key", "left")
     rows = rows.withColumn("holders", F.coalesce("holders", F.array().cast("array<string>")))
     rows = rows.withColumn("holding", F.filter("targets", lambda n: F.array_contains("holders", n)))
     rows = rows.withColumn("missing", F.filter("targets", lambda n: ~F.array_contains("holders", n)))
-    return rows.drop("holders").withColumn("in_sync", F.size("missing") == 0)
+    rows = rows.drop("holders").withColumn("in_sync", F.size("missing") == 0)
+    return rows if clocks is None else rows.join(clocks.select("key", "vc"), "key", "left")
+
+
+def state(nodes: DataFrame, holdings: DataFrame, log: DataFrame, gens: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(node, status, n_keys, n_log, n_gens, heartbeat, ring_nodes): gens are (node, gen, ...), heartbeat a node's own count of its beats."""
+    out = nodes
+    own = members.where(F.col("observer") == F.col("node")) if members is not None else None
+    parts = [("n_keys", holdings, F.count("*")), ("n_log", log, F.count("*")), ("n_gens", gens, F.count_distinct("gen")), ("heartbeat", own, F.max("heartbeat"))]
+    for name, df, agg in (p for p in parts if p[1] is not None):
+        out = out.join(df.groupBy("node").agg(agg.alias(name)), "node", "left")
+    total = nodes.agg(F.count("*").alias("ring_nodes"))
+    counts = [F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name) for name, df, _ in parts if df is not None]
+    return out.join(F.broadcast(total), F.lit(True)).select("node", F.when(F.col("disabled"), "DEAD").otherwise("ALIVE").alias("status"), *counts, "ring_nodes")
+
+
+def storage(node: str, holdings: DataFrame, log_lines: DataFrame, gens: DataFrame) -> DataFrame:
+    """(part, key, text) of one node: its entries by key, its log lines by seq, its count of generations."""
+    mine = lambda df: df.where(F.col("node") == node)
+    entries = mine(holdings).select(F.lit("entry").alias("part"), "key", F.col("value").alias("text"))
+    lines = mine(log_lines).select(F.lit("log").alias("part"), F.lpad(F.col("seq").cast("string"), 19, "0").alias("key"), F.col("line").alias("text"))
+    runs = mine(gens).agg(F.count_distinct("gen").cast("string").alias("text")).select(F.lit("generations").alias("part"), F.lit("").alias("key"), "text")
+    return entries.unionByName(lines).unionByName(runs).orderBy("part", "key")
+
+
+def visible_by_node(log: DataFrame) -> DataFrame:
+    """(node, key, value): what each node's own operations leave visible on it."""
+    row = F.struct("op", "value")
+    last = log.groupBy("node", "key").agg(F.max_by(row, "seq").alias("r"))
+    return last.where("r.op <> 'DELETE'").select("node", "key", "r.value")
+
+
+def delete_on(log: DataFrame, node: str, key: str, seq: int) -> DataFrame:
+    """The log (seq, node, op, key, value) with one DELETE on one node; other nodes keep the key."""
+    gone = log.sparkSession.range(1).select(F.lit(seq).cast("long").alias("seq"), F.lit(node).alias("node"), F.lit("DELETE").alias("op"), F.lit(key).alias("key"), F.lit("").alias("value"))
+    return log.select("seq", "node", "op", "key", "value").unionByName(gone)
+
+
+def flush_node(log: DataFrame, node: str, through: int, gen: int) -> DataFrame:
+    """(gen, key, value, is_tombstone): the run that a node writes of its operations after `through`; none if there are none."""
+    rest = log.where((F.col("node") == node) & (F.col("seq") > through))
+    row = F.struct(F.when(F.col("op") == "DELETE", "").otherwise(F.col("value")).alias("value"), (F.col("op") == "DELETE").alias("is_tombstone"))
+    return rest.groupBy("key").agg(F.max_by(row, "seq").alias("r")).select(F.lit(gen).alias("gen"), "key", "r.value", "r.is_tombstone")
+
+
+def switched(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """nodes after kill and revive events (seq, node, kill): the last event of a node rules; unknown nodes enter the set too, without an order."""
+    last = events.groupBy("node").agg(F.max_by("kill", "seq").alias("kill"))
+    return nodes.join(last, "node", "full").select("node", "ord", F.coalesce("kill", "disabled").alias("disabled"))
+
+
+def without_node(node: str, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Every table (with a node, an observer or both) without that node's rows; nothing is copied elsewhere."""
+    drop = lambda df: df.where(" and ".join(f"{c} <> '{node}'" for c in ("node", "observer") if c in df.columns))
+    return {name: drop(df) for name, df in tables.items()}
 
 
-def state(nodes: DataFrame, holdings: DataFrame, log: DataFrame) -> DataFrame:
-    """(node, status, n_keys, n_log)."""
-    keys = holdings.groupBy("node").agg(F.count("*").alias("k"))
-    entries = log.groupBy("node").agg(F.count("*").alias("l"))
-    out = nodes.join(keys, "node", "left").join(entries, "node", "left")
-    return out.select("node", F.when(F.col("disabled"), "DEAD").otherwise("ALIVE").alias("status"), F.coalesce("k", F.lit(0)).alias("n_keys"), F.coalesce("l", F.lit(0)).alias("n_log"))
+def side_by_side(holdings: DataFrame, a: str, b: str) -> DataFrame:
+    """(key, a_value, b_value) of two nodes' entries."""
+    one = lambda n, c: F.max(F.when(F.col("node") == n, F.col("value"))).alias(c)
+    return holdings.where(F.col("node").isin(a, b)).groupBy("key").agg(one(a, "a_value"), one(b, "b_value"))
 
 
 def summary(state_: DataFrame) -> DataFrame:

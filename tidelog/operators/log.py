@@ -29,6 +29,17 @@ def flagged(log: DataFrame) -> DataFrame:
     return out.withColumn("inserted", (F.col("op") == "PUT") & ~F.col("existed")).withColumn("effective", (F.col("op") == "DELETE") & F.col("existed"))
 
 
+def effective_log(log: DataFrame) -> DataFrame:
+    """What a store writes: every PUT, and a DELETE only of a key that is there."""
+    return flagged(log).where("op = 'PUT' or effective").drop("existed", "inserted", "effective")
+
+
+def since_clear(log: DataFrame) -> DataFrame:
+    """Operations after the last CLEAR, or all where there is none."""
+    last = log.agg(F.max(F.when(F.col("op") == "CLEAR", F.col("seq"))).alias("cut"))
+    return log.join(F.broadcast(last), F.lit(True)).where(F.col("cut").isNull() | (F.col("seq") > F.col("cut"))).drop("cut")
+
+
 def row_bytes(overhead: int) -> Column:
     return F.octet_length("key") + F.octet_length("value") + F.lit(overhead)
 
@@ -52,6 +63,12 @@ def generations(log: DataFrame, every: int) -> DataFrame:
     return log.groupBy(gen, "key").agg(F.max_by(row, "seq").alias("r")).select("gen", "key", "r.value", "r.is_tombstone")
 
 
+def put_batches(log: DataFrame, every: int, limit: int = 4 << 20, overhead: int = 0) -> DataFrame:
+    """(gen, bytes, flush): the memory table that each batch of puts leaves, and whether it is flushed at once."""
+    size = generations(log, every).groupBy("gen").agg(F.sum(row_bytes(overhead)).cast("long").alias("bytes"))
+    return size.withColumn("flush", F.col("bytes") >= limit)
+
+
 def merge_on_read(gens: DataFrame) -> DataFrame:
     """(key, value, is_tombstone): the newest generation of each key wins.  A filter on key reaches the scan."""
     row = F.struct("value", "is_tombstone")

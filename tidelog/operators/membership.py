@@ -47,3 +47,38 @@ def round_(members: DataFrame, nodes: DataFrame, now: Column) -> DataFrame:
     out = held.join(grid, ["observer", "node"], "full")
     risen = F.col("top").isNotNull() & (F.col("heartbeat").isNull() | (F.col("top") > F.col("heartbeat")))
     return out.select("observer", "node", F.when(risen, F.col("top")).otherwise(F.col("heartbeat")).alias("heartbeat"), F.when(risen, now).otherwise(F.col("last_seen")).alias("last_seen"))
+
+
+def joined(nodes: DataFrame, now: Column) -> DataFrame:
+    """Membership of nodes that just started: each knows itself, at counter 0."""
+    return nodes.select(F.col("node").alias("observer"), "node", F.lit(0).cast("long").alias("heartbeat"), now.alias("last_seen"))
+
+
+def introduced(members: DataFrame, node: str, now: Column) -> DataFrame:
+    """A new node and all observers know each other; what is known already stays.  Both sides enter at counter 0."""
+    seen = members.select("observer").distinct().where(F.col("observer") != node)
+    rows = seen.select("observer", F.lit(node).alias("node")).union(seen.select(F.lit(node).alias("observer"), F.col("observer").alias("node")))
+    me = members.sparkSession.range(1).select(F.lit(node).alias("observer"), F.lit(node).alias("node"))
+    return add(members, rows.union(me).withColumn("last_seen", now))
+
+
+def beat(members: DataFrame, node: Column, now: Column, times: int = 1) -> DataFrame:
+    """Own heartbeats of the nodes that the condition names: counter up, time now, in their own lists only."""
+    own = (F.col("observer") == F.col("node")) & node
+    counted = F.when(own, F.col("heartbeat") + times).otherwise(F.col("heartbeat"))
+    return members.select("observer", "node", counted.alias("heartbeat"), F.when(own, now).otherwise(F.col("last_seen")).alias("last_seen"))
+
+
+def rounds(members: DataFrame, nodes: DataFrame, nows: list[Column]) -> DataFrame:
+    """The loop of gossip rounds, one for each time given; a stream runs one a trigger."""
+    for now in nows:
+        members = round_(members, nodes, now)
+    return members
+
+
+def view(members: DataFrame, observer: str, nodes: DataFrame, as_of: Column, timeout_ms: int) -> DataFrame:
+    """(node, heartbeat, status) as one observer sees them; a killed or overdue node is DEAD."""
+    mine = members.where(F.col("observer") == observer)
+    out = mine.join(F.broadcast(nodes.select("node", "disabled")), "node", "left")
+    gone = F.coalesce(F.col("disabled"), F.lit(False))
+    return out.select("node", "heartbeat", status(F.col("last_seen"), as_of, timeout_ms, gone).alias("status"))

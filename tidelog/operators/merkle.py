@@ -8,19 +8,45 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bucket_of, leaf_text
 
 
-def leaves(rows: DataFrame, buckets: int) -> DataFrame:
-    """(idx, hash) of rows (key, value): md5 of a bucket's rows in order; '' for an empty one.
+def leaves(rows: DataFrame, buckets: int, parts: int = 16) -> DataFrame:
+    """(idx, hash) of rows (key, value); '' for an empty bucket.
 
-    A bucket's rows meet in one group: take more buckets for more rows.
+    A bucket's rows are cut into `parts` by further bits of the key's hash.  A part's hash is the md5 of
+    its rows in order, a bucket's the md5 of its parts' hashes in order, so no row holds more than
+    1 / (buckets x parts) of the data; raise either with it.
     """
     if buckets < 1:
         raise ValueError("at least one bucket")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda r: leaf_text(r["key"], r["value"]))
-    found = rows.groupBy(bucket_of("key", buckets).alias("idx")).agg(F.md5(F.array_join(listed, "").cast("binary")).alias("hash"))
+    part = F.pmod(F.conv(F.substring(F.md5(F.col("key").cast("binary")), 9, 8), 16, 10).cast("long"), F.lit(parts))
+    inner = rows.groupBy(bucket_of("key", buckets).alias("idx"), part.alias("part")).agg(F.md5(F.array_join(listed, "").cast("binary")).alias("hash"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "hash"))), lambda r: r["hash"])
+    found = inner.groupBy("idx").agg(F.md5(F.array_join(in_order, "").cast("binary")).alias("hash"))
     every = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("idx"))
     return every.join(found, "idx", "left").select("idx", F.coalesce("hash", F.lit("")).alias("hash"))
 
 
+def node_diff(holdings: DataFrame, nodes: DataFrame, buckets: int = 8, a: str = "", b: str = "") -> DataFrame:
+    """(node_a, node_b, root_a, root_b, idx): differing buckets of two nodes, one row with a null idx if there are none.
+
+    Unless both are named, they are the cluster's first two; fewer than two nodes are an error.
+    """
+    if not (a and b):
+        first = [r.node for r in nodes.orderBy("ord").select("node").limit(2).collect()]
+        if len(first) < 2:
+            raise ValueError("requires two nodes")
+        a, b = first
+    x, y = (leaves(holdings.where(F.col("node") == n).select("key", "value"), buckets) for n in (a, b))
+    top = lambda leaf, name: root(holdings.sparkSession, leaf, buckets).select(F.col("hash").alias(name))
+    heads = top(x, "root_a").join(F.broadcast(top(y, "root_b")), F.lit(True))  # one row each
+    return heads.join(F.broadcast(diff(x, y)), F.lit(True), "left").select(F.lit(a).alias("node_a"), F.lit(b).alias("node_b"), "root_a", "root_b", "idx")
+
+
+def built(leaf: DataFrame) -> DataFrame:
+    """(buckets, empty): the number of a tree's buckets, and whether none holds a row."""
+    return leaf.agg(F.count("*").cast("int").alias("buckets"), (F.count_if(F.col("hash") != "") == 0).alias("empty"))
+
+
 def summed_leaves(rows: DataFrame, buckets: int) -> DataFrame:
     """(idx, hash): an order-free variant that adds row hashes, so that a bucket of any size combines before the shuffle."""
     part = lambda i: F.sum(F.conv(F.substring(F.md5(leaf_text("key", "value").cast("binary")), i, 12), 16, 10).cast("decimal(20,0)"))

@@ -20,7 +20,10 @@ MOST_ARCS = 200_000
 def ring(nodes: DataFrame, vnodes: int) -> DataFrame:
     """(pos, node); of nodes that meet at a position the greatest has it.  Repeated nodes count once."""
     rows = nodes.select("node").distinct().select("node", F.explode(F.sequence(F.lit(0), F.lit(vnodes - 1))).alias("i"))
-    return rows.groupBy(h32(vnode_name("node", F.col("i"))).alias("pos")).agg(F.max("node").alias("node"))
+    out = rows.groupBy(h32(vnode_name("node", F.col("i"))).alias("pos")).agg(F.max("node").alias("node"))
+    # the cluster's configuration, a row a node: literal rows are counted without a job
+    out._most = len(nodes.select("node").limit(MOST_ARCS).collect()) * vnodes
+    return out
 
 
 def without(nodes: DataFrame, node: str) -> DataFrame:
@@ -28,26 +31,38 @@ def without(nodes: DataFrame, node: str) -> DataFrame:
 
 
 def arcs(ring_: DataFrame) -> DataFrame:
-    """(lo, hi, pref): keys with lo < hash <= hi prefer pref's nodes in order.  The first arc is there twice, for the wrap."""
+    """(lo, hi, pref): keys with lo < hash <= hi prefer pref's nodes in order.  The first arc is there twice, for the wrap.
+
+    Each position looks up every node's next position, so the work is what the lists hold, positions x nodes.  An
+    empty ring is an error when rows are asked for.
+    """
     by_pos = Window.orderBy("pos")
     ends = ring_.select("pos").withColumn("prev", F.lag("pos").over(by_pos)).withColumn("top", F.max("pos").over(Window.partitionBy()))
-    away = F.pmod(F.col("b.pos") - F.col("a.pos"), F.lit(RING_SIZE))
-    near = ring_.alias("a").crossJoin(ring_.alias("b")).groupBy(F.col("a.pos").alias("pos"), F.col("b.node").alias("node")).agg(F.min(away).alias("d"))
+    names = ring_.agg(F.collect_set("node").alias("names"))  # one row
+    grid = ring_.join(F.broadcast(names), F.lit(True)).select("pos", F.col("node").alias("at"), F.explode("names").alias("node"))
+    onward = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    own = F.when(F.col("at") == F.col("node"), F.col("pos"))
+    first = F.min(own).over(Window.partitionBy("node")) + RING_SIZE
+    near = grid.select("pos", "node", (F.coalesce(F.first(own, ignorenulls=True).over(onward), first) - F.col("pos")).alias("d"))
     pref = near.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "node"))), lambda x: x["node"]).alias("pref"))
     out = ends.join(pref, "pos")
-    first = out.where(F.col("prev").isNull())
-    return (
+    head = out.where(F.col("prev").isNull())
+    fault = F.raise_error(F.lit("the ring is empty"))
+    empty = ring_.agg(F.count("*").alias("n")).where("n = 0").select(fault.cast("long").alias("lo"), fault.cast("long").alias("hi"), F.lit(None).cast("array<string>").alias("pref"))
+    found = (
         out.select(F.coalesce("prev", F.lit(-1)).alias("lo"), F.col("pos").alias("hi"), "pref")
-        .union(first.select(F.col("top").alias("lo"), F.lit(RING_SIZE).alias("hi"), "pref"))
+        .union(head.select(F.col("top").alias("lo"), F.lit(RING_SIZE).alias("hi"), "pref"))
         .where("lo < hi")
+        .union(empty)
     )
+    found._most = getattr(ring_, "_most", None)
+    return found
 
 
 def place(keys: DataFrame, arcs_: DataFrame, key: str = "key") -> DataFrame:
-    """keys with pref, the nodes from the key's owner on.  An empty ring is an error."""
-    n = arcs_.count()
-    if not n:
-        raise ValueError("the ring is empty")
+    """keys with pref, the nodes from the key's owner on.  Arcs are broadcast where their number, known from the ring, is small."""
+    n = getattr(arcs_, "_most", None)
+    n = arcs_.count() if n is None else n
     width = RING_SIZE // SLICES
     cut = arcs_.withColumn("slice", F.explode(F.sequence(F.floor((F.col("lo") + 1) / width), F.floor(F.least(F.col("hi"), F.lit(RING_SIZE - 1)) / width))))
     cut = F.broadcast(cut) if n <= MOST_ARCS else cut

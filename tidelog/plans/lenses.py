@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ring as R
 
+#: The cluster's node names.
 NODE_NAMES = ["node-alpha", "node-beta", "node-gamma"]
 
 
@@ -54,3 +55,36 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         (F.col("event_id") % 3).cast("string").alias("observer"), F.col("user_id").cast("string").alias("node"), (F.col("event_id") % 7).alias("heartbeat"), F.col("ts").alias("seen")
     )
+
+
+def named(n) -> F.Column:
+    """A node name for a number."""
+    return F.element_at(F.array(*map(F.lit, NODE_NAMES)), (n % 3 + 1).cast("int"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sighting of a node by a node: (observer, node, heartbeat, seen)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(named(F.col("event_id")).alias("observer"), named(F.col("user_id")).alias("node"), (F.col("event_id") % 70).alias("heartbeat"), F.col("ts").alias("seen"))
+
+
+def clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clocks of every second order, and of some keys that no node holds."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    vc = F.create_map(named(F.col("o_custkey")), F.col("o_custkey") % 5 + 1).alias("vc")
+    key = lambda kind: F.concat(F.lit(kind), F.col("o_orderkey").cast("string")).alias("key")
+    return o.where("o_orderkey % 2 = 0").select(key("order:"), vc).union(o.where("o_orderkey % 50 = 0").select(key("ghost:"), vc))
+
+
+def switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kills and revivals: (seq, node, kill)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    node = F.element_at(F.array(*map(F.lit, [*NODE_NAMES, "node-lost"])), (F.col("user_id") % 4 + 1).cast("int"))
+    return e.where("event_type in ('error', 'click')").select(F.col("event_id").alias("seq"), node.alias("node"), (F.col("event_type") == "error").alias("kill"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import log as L
+    from ..sources import codec
+
+    return codec.run_bytes(L.generations(oplog(spark, sf_dir), 1000))

@@ -11,6 +11,7 @@ from ..operators import log as L
 from ..operators import membership as G
 from ..operators import merkle as T
 from ..operators import ring as R
+from ..sources import codec as B
 from . import lenses as X
 
 BUCKETS = 1024
@@ -48,6 +49,20 @@ def _json(spark, d):
     return e.select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user"))).alias("body"))
 
 
+def _run_rows(rows):
+    return rows.select(F.col("path").cast("int").alias("gen"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "is_tombstone")
+
+
+def _cleared(s, d):
+    o = X.oplog(s, d)
+    return L.since_clear(o.withColumn("op", F.when(F.col("seq") % 700 == 699, "CLEAR").otherwise(F.col("op"))))
+
+
+def _state(s, d):
+    gens = X.oplog(s, d).select("node", F.floor(F.col("seq") / 1000).alias("gen"))
+    return D.state(X.nodes(s), X.holdings(s, d), X.oplog(s, d), gens, G.merge(X.members(s, d)))
+
+
 def f1_ring_hash(s, d):
     return X.keys(s, d).select("key", S.h32("key").alias("h"))
 
@@ -82,12 +97,14 @@ def f8_json_int(s, d):
 
 
 def f9_url_decode(s, d):
-    return X.keys(s, d).select("key", S.url_decode(F.replace("key", F.lit(":"), F.lit("%3A"))).alias("decoded"), S.url_decode(F.concat("key", F.lit("%zz"))).alias("kept"))
+    odd = F.concat(F.replace("key", F.lit(":"), F.lit("+%3A")), F.lit("%zz%c3%A9%4"))
+    return X.keys(s, d).select("key", S.url_decode(F.replace("key", F.lit(":"), F.lit("%3A"))).alias("decoded"), S.url_decode(F.concat("key", F.lit("%zz"))).alias("kept"), S.url_decode(odd).alias("mixed"))
 
 
 def f10_query_parameter(s, d):
-    url = F.concat(F.lit("http://host/api/get?key="), F.replace("key", F.lit(":"), F.lit("%3A")), F.lit("&node_id=a+b"))
-    return X.keys(s, d).select("key", S.query_parameter(url, "key").alias("k"), S.query_parameter(url, "node_id").alias("node_id"))
+    url = F.concat(F.lit("/api/get?key="), F.replace("key", F.lit(":"), F.lit("%3A")), F.lit("&node_id=a+b"))
+    bad = F.concat(F.lit("http://x y/?key=a b%zz"), F.col("key"))
+    return X.keys(s, d).select("key", S.query_parameter(url, "key").alias("k"), S.query_parameter(url, "node_id").alias("node_id"), S.query_parameter(bad, "key").alias("odd"), S.query_parameter(bad, "node_id").alias("none"))
 
 
 def f11_clock_text(s, d):
@@ -103,7 +120,7 @@ def f13_leaf_text(s, d):
 
 
 def f14_now_ms(s, d):
-    return s.range(1).select((F.unix_millis(F.current_timestamp()) > 0).alias("positive"))
+    return X.oplog(s, d).select("seq", F.unix_millis("ts").alias("ms"), (F.unix_millis(F.current_timestamp()) > F.unix_millis("ts")).alias("past"))
 
 
 def f17_log_line(s, d):
@@ -151,7 +168,7 @@ def k5_empty(s, d):
 
 
 def k6_clear(s, d):
-    return L.visible(X.oplog(s, d)).where(F.lit(False)).agg(F.count("*").alias("n"))
+    return L.visible(_cleared(s, d))
 
 
 def k7_contains(s, d):
@@ -183,8 +200,7 @@ def m10_contains(s, d):
 
 
 def l1_point_get(s, d):
-    g = _gens(s, d)
-    return g.where("key = 'user:7'").select("gen", "key", "value", "is_tombstone")
+    return _run_rows(B.run_get(X.runs(s, d), "user:7"))
 
 
 def l2_range_scan(s, d):
@@ -196,7 +212,7 @@ def l4_visible_state(s, d):
 
 
 def l5_effective_delete(s, d):
-    return L.flagged(X.oplog(s, d)).where("op = 'DELETE'").select("seq", "key", "effective")
+    return L.effective_log(X.oplog(s, d)).select("seq", "op", "key")
 
 
 def l6_flush(s, d):
@@ -345,8 +361,12 @@ def t10_repair(s, d):
 
 
 def t11_equal_roots(s, d):
-    a, b = T.summed_leaves(X.replica_a(s, d), 16), T.summed_leaves(X.replica_b(s, d), 16)
-    return T.diff(a, b).agg((F.count("*") == 0).alias("in_sync"))
+    def same(name, x, y):
+        a, b = (T.root(s, T.leaves(r, 4), 4) for r in (x, y))
+        return a.join(F.broadcast(b.withColumnRenamed("hash", "other")), F.lit(True)).select(F.lit(name).alias("pair"), (F.col("hash") == F.col("other")).alias("in_sync"))
+
+    a, b = X.replica_a(s, d), X.replica_b(s, d)
+    return same("a-b", a, b).union(same("a-a", a, a.repartition(3)))
 
 
 def _members(s, d):
@@ -393,14 +413,13 @@ def g10_gossip_round(s, d):
 
 
 def g12_view(s, d):
-    out = _last(s, d).select("node", G.status(F.col("last_seen"), F.col("as_of"), HOURS2, F.col("node").cast("int") % 10 == 0).alias("status"))
-    return out
+    as_of = s.read.parquet(f"{d}/events.parquet").agg(F.max("ts").cast("timestamp").alias("as_of"))
+    m = G.merge(X.members(s, d)).join(F.broadcast(as_of), F.lit(True))
+    return G.view(m, "node-gamma", X.nodes(s), F.col("as_of"), 600_000)
 
 
 def g13_kill_revive(s, d):
-    n = X.nodes(s)
-    killed = n.withColumn("disabled", F.col("disabled") | (F.col("node") == "node-gamma"))
-    return killed.withColumn("disabled", F.col("disabled") & (F.col("node") != "node-beta")).select("node", "disabled")
+    return D.switched(X.nodes(s), X.switches(s, d)).select("node", "disabled")
 
 
 def d1_add_node(s, d):
@@ -408,7 +427,9 @@ def d1_add_node(s, d):
 
 
 def d2_remove_node(s, d):
-    return X.holdings(s, d).where("node <> 'node-alpha'").groupBy("node").agg(F.count("*").alias("n"))
+    left = D.without_node("node-alpha", holdings=X.holdings(s, d), log=X.oplog(s, d), members=G.merge(X.members(s, d)), ring=R.ring(X.nodes(s), 50))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in left.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
 def d3_route(s, d):
@@ -417,7 +438,9 @@ def d3_route(s, d):
 
 def d4_put_placement(s, d):
     p = D.put_placement(X.placed(s, d), X.nodes(s))
-    return p.select("key", _text("written").alias("written"), _text("failed").alias("failed"), _text("handoff").alias("handoff"))
+    after = D.stamped(X.clocks(s, d), p.select("key", F.col("pref")[0].alias("coordinator")))
+    p = p.join(after, "key")
+    return p.select("key", _text("written").alias("written"), _text("failed").alias("failed"), _text("handoff").alias("handoff"), C.text(F.col("vc")).alias("clock"))
 
 
 def d5_coordinator(s, d):
@@ -426,34 +449,38 @@ def d5_coordinator(s, d):
 
 
 def d6_failover_get(s, d):
-    return D.failover_get(X.placed(s, d), X.holdings(s, d), X.nodes(s))
+    k = F.col("o_orderkey")
+    asked = F.when(k % 5 == 0, "node-beta").when(k % 5 == 1, "node-gamma").when(k % 5 == 2, "node-none").when(k % 5 == 3, "")
+    return D.failover_get(X.placed(s, d), X.holdings(s, d), X.nodes(s), asked)
 
 
 def d7_delete_key(s, d):
-    o = X.oplog(s, d)
-    gone = s.sql("SELECT 1L << 40 AS seq, 'DELETE' AS op, 'user:7' AS key, '' AS value")
-    return L.visible(o.select("seq", "op", "key", "value").unionByName(gone))
+    return D.visible_by_node(D.delete_on(X.oplog(s, d), "node-alpha", "user:7", 1 << 40)).where("key in ('user:7', 'user:8')")
 
 
 def d10_cluster_state(s, d):
-    return D.state(X.nodes(s), X.holdings(s, d), X.oplog(s, d))
+    return _state(s, d)
 
 
 def d11_node_storage(s, d):
-    return X.holdings(s, d).where("node = 'node-alpha'").select("key", "value").orderBy("key")
+    o = X.oplog(s, d)
+    lines = o.select("node", "seq", S.log_line(F.col("op"), F.col("key"), F.col("value")).alias("line"))
+    return D.storage("node-alpha", X.holdings(s, d), lines, o.select("node", F.floor(F.col("seq") / 1000).alias("gen")))
 
 
 def d12_key_inventory(s, d):
-    r = D.inventory(X.placed(s, d), X.holdings(s, d))
-    return r.select("key", "owner", _text("targets").alias("targets"), _text("holding").alias("holding"), _text("missing").alias("missing"), "in_sync")
+    held, clocks = X.holdings(s, d), X.clocks(s, d)
+    placed = R.place(D.known_keys(held, clocks), R.arcs(R.ring(X.nodes(s), 50)))
+    r = D.inventory(placed, held, clocks=clocks)
+    return r.select("key", "owner", _text("targets").alias("targets"), _text("holding").alias("holding"), _text("missing").alias("missing"), "in_sync", F.coalesce(C.text(F.col("vc")), F.lit("[]")).alias("clock"))
 
 
 def d13_summary(s, d):
-    return D.summary(d10_cluster_state(s, d))
+    return D.summary(_state(s, d))
 
 
 def d15_chaos(s, d):
-    return D.chaos(X.nodes(s))
+    return D.chaos(D.switched(X.nodes(s), X.switches(s, d)))
 
 
 def d16_log_tail(s, d):
@@ -472,4 +499,115 @@ def d21_node_name(s, d):
     return s.read.parquet(f"{d}/nation.parquet").select(S.node_name(F.concat(F.lit("  "), "n_name", F.lit(" "))).alias("name"))
 
 
+def f15_monotonic_ms(s, d):
+    o = X.oplog(s, d)
+    first = F.broadcast(o.agg(F.min("ts").alias("first")))
+    return o.join(first, F.lit(True)).select("seq", S.monotonic_ms(F.col("ts"), F.col("first")).alias("ms"))
+
+
+def f16_verdict_text(s, d):
+    return X.keys(s, d).select("key", S.verdict_text((F.col("o_orderkey") % 4).cast("int")).alias("verdict"))
+
+
+def s4_log_truncate(s, d):
+    return _cleared(s, d).select("seq", "op", "key")
+
+
+def s7_run_write(s, d):
+    size = X.runs(s, d).select("path", F.octet_length("content").alias("bytes"), F.hex(F.substring("content", -8, 8)).alias("f"))
+    rows = F.conv(F.concat(*[F.substring("f", 15 - 2 * i, 2) for i in range(8)]), 16, 10).cast("long")
+    return size.select(F.col("path").cast("int").alias("gen"), F.col("bytes").cast("long").alias("bytes"), rows.alias("rows"))
+
+
+def s8_run_index(s, d):
+    return B.run_index(X.runs(s, d)).select(F.col("path").cast("int").alias("gen"), F.col("key").cast("string").alias("key"), "offset")
+
+
+def s10_run_full_scan(s, d):
+    return _run_rows(B.run_scan(X.runs(s, d)))
+
+
+def l1_run_range(s, d):
+    return _run_rows(B.run_scan(X.runs(s, d), "user:1", "user:5"))
+
+
+def m2_point_read(s, d):
+    return L.fold(X.oplog(s, d).where("key in ('user:7', 'user:8', 'user:9', 'user:none')")).select("key", "value", "is_tombstone")
+
+
+def m3_tombstones(s, d):
+    return L.fold(X.oplog(s, d).where("op = 'DELETE'")).select("key", "value", "is_tombstone", "seq")
+
+
+def m6_clear(s, d):
+    return L.fold(_cleared(s, d)).select("key", "value", "is_tombstone")
+
+
+def l3_engine_put(s, d):
+    return L.put_batches(X.oplog(s, d), 100, 6000, 48)
+
+
+def c12_key_clock(s, d):
+    return d12_key_inventory(s, d).where("key in ('order:2', 'order:4', 'ghost:50', 'order:3')").select("key", "clock", "owner", "targets")
+
+
+def t7_bucket_count(s, d):
+    none = X.replica_a(s, d).where("key = ''")
+    full = T.built(T.leaves(X.replica_a(s, d), 16)).withColumn("side", F.lit("a"))
+    return full.unionByName(T.built(T.leaves(none, 8)).withColumn("side", F.lit("none")))
+
+
+def t9_node_diff(s, d):
+    return T.node_diff(X.holdings(s, d), X.nodes(s), 8)
+
+
+def g1_self_registration(s, d):
+    return G.joined(X.nodes(s), F.lit("2030-01-01").cast("timestamp")).select("observer", "node", "heartbeat", (F.col("last_seen") == F.lit("2030-01-01").cast("timestamp")).alias("now"))
+
+
+def g2_own_heartbeat(s, d):
+    now = F.lit("2030-01-01").cast("timestamp")
+    out = G.beat(G.merge(X.members(s, d)), F.col("node") != "node-beta", now)
+    return out.select("observer", "node", "heartbeat", (F.col("last_seen") == now).alias("refreshed"))
+
+
+def g4_snapshot(s, d):
+    return G.merge(X.members(s, d)).where("observer = 'node-alpha'").select("node", "heartbeat", F.unix_micros("last_seen").alias("seen_us"))
+
+
+def g11_rounds(s, d):
+    n = s.sql("SELECT * FROM VALUES ('0', false), ('1', true), ('2', false) AS t(node, disabled)")
+    times = [F.lit(t).cast("timestamp") for t in ("2030-01-01 00:00:00", "2030-01-01 00:00:01")]
+    return G.rounds(_members(s, d), n, times).select("observer", "node", "heartbeat")
+
+
+def g14_revive(s, d):
+    """Revived nodes, those whose last switch was no kill, beat once."""
+    now = D.switched(X.nodes(s), X.switches(s, d)).where("not disabled").select(F.col("node").alias("live"))
+    m = G.merge(X.members(s, d)).join(F.broadcast(now), F.col("node") == F.col("live"), "left")
+    return G.beat(m, F.col("live").isNotNull(), F.lit("2030-01-01").cast("timestamp")).select("observer", "node", "heartbeat")
+
+
+def d1_introduction(s, d):
+    out = G.introduced(G.merge(X.members(s, d)), "node-new", F.lit("2030-01-01").cast("timestamp"))
+    return G.introduced(out, "node-alpha", F.lit("2030-01-01").cast("timestamp")).select("observer", "node", "heartbeat")
+
+
+def d6_newest_get(s, d):
+    o = X.oplog(s, d).where("op = 'PUT'")
+    return D.newest_get(o.select("key").distinct(), o.select("node", "key", "value", "seq"), X.nodes(s))
+
+
+def d8_flush_node(s, d):
+    return D.flush_node(X.oplog(s, d), "node-alpha", 499, 1)
+
+
+def d9_recover_node(s, d):
+    return D.visible_by_node(X.oplog(s, d).where("node = 'node-beta'"))
+
+
+def d19_side_by_side(s, d):
+    return D.side_by_side(X.holdings(s, d), "node-alpha", "node-gamma")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "fskmlrctgd" and k[1:2].isdigit() and callable(v)}

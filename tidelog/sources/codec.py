@@ -96,6 +96,39 @@ def run_files(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(files, "path string, seq long, key binary, value binary, is_tombstone boolean", lambda d: Run(d).rows())
 
 
+def run_bytes(gens: DataFrame) -> DataFrame:
+    """(path, content): a binary run for each generation of (gen, key, value, is_tombstone), rows in byte order of their keys.
+
+    A run is a flushed memory table, so its size is bounded by the flush threshold.
+    """
+
+    def write(pdf):
+        import pandas as pd
+
+        rows = sorted((k.encode(), v.encode(), bool(t)) for k, v, t in zip(pdf["key"], pdf["value"], pdf["is_tombstone"]))
+        return pd.DataFrame({"path": [str(pdf["gen"].iloc[0])], "content": [write_run(rows)]})
+
+    return gens.select("gen", "key", "value", "is_tombstone").groupBy("gen").applyInPandas(write, "path string, content binary")
+
+
+ROWS = "path string, seq long, key binary, value binary, is_tombstone boolean"
+
+
+def run_index(files: DataFrame) -> DataFrame:
+    """(path, seq, key, offset) of the runs' indexes."""
+    return _parsed(files, "path string, seq long, key binary, offset long", lambda d: zip((r := Run(d)).keys, r.offsets))
+
+
+def run_get(files: DataFrame, key: str) -> DataFrame:
+    """The row of a key in each run that has it, tombstones too: a binary search of the index, one record read."""
+    return _parsed(files, ROWS, lambda d: [r for r in [Run(d).get(key.encode())] if r])
+
+
+def run_scan(files: DataFrame, start: str = "", end: str | None = None) -> DataFrame:
+    """Rows of each run with start <= key <= end, tombstones too; all from start on without an end."""
+    return _parsed(files, ROWS, lambda d: Run(d).rows() if end is None else Run(d).scan(start.encode(), end.encode()))
+
+
 def log_bytes(log: DataFrame) -> DataFrame:
     """The log's rows (ts, op, key, value as text) with `record`, their binary form, made of built-in functions."""
     le = lambda x, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x), 2 * n, "0"), 2 * (n - i) - 1, 2) for i in range(n)]))

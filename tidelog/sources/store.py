@@ -30,6 +30,27 @@ class Store:
         """Add operations (OPLOG); an append never truncates."""
         log.selectExpr(*[c.split()[0] for c in OPLOG.split(", ")]).write.mode("append").parquet(f"{self.path}/log")
 
+    def put(self, ops_: DataFrame, limit: int = 4 << 20, overhead: int = 0) -> int | None:
+        """Append operations (seq, node, op, key, value), stamped with the time in ms where they have none, and flush
+        once the memory table has `limit` bytes.  The generation flushed, or nothing."""
+        if "ts" not in ops_.columns:
+            ops_ = ops_.withColumn("ts", F.timestamp_millis(F.unix_millis(F.current_timestamp())))
+        self.append(ops_)
+        full = ops.should_flush(ops.fold(self.replay()), limit, overhead).first()[0]
+        return self.flush() if full else None
+
+    def clear(self) -> None:
+        """Be done with the log without writing it: its operations are forgotten, generations stay."""
+        through = self.replay().agg(F.max("seq")).first()[0]
+        if through is not None:
+            self.spark.range(1).selectExpr(f"{self.flushed()[0]} as gen", f"cast({through} as long) as through").write.mode("append").parquet(f"{self.path}/manifest")
+
+    def files(self) -> list[str]:
+        """Paths of the committed generations' files."""
+        last = self.flushed()[0]
+        rows = self._read("sorted", GENERATIONS).where(F.col("gen") <= last)
+        return sorted(r.path for r in rows.select(F.input_file_name().alias("path")).distinct().collect())
+
     def manifest(self) -> DataFrame:
         return self._read("manifest", MANIFEST)
 
