@@ -19,7 +19,9 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -335,48 +337,47 @@ def library_ids(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-def _bucketed(docs: DataFrame, rows: int) -> DataFrame:
-    """Rows with `bucket`, which rises with doc_id: bounds are quantiles of doc_id, fixed numbers in the plan."""
+def _bucketed(docs: DataFrame, size: int) -> DataFrame:
+    """Rows dealt by ranges of doc_id, about `size` bytes of texts a partition, each in ascending order.
+
+    The number of partitions follows the bytes.  Equal doc_ids are told apart by a hash of the text, so one id of
+    a great many rows isn't one task.
+    """
     source = id_text(docs)
-    n = source.count()
-    many = max(1, min(10_000, -(-n // rows)))
-    bounds = []
-    if many > 1:
-        at = F.percentile_approx("doc_id", F.array(*[F.lit(i / many) for i in range(1, many)]), F.lit(max(10_000, 20 * many)))
-        bounds = sorted({*(source.agg(at.alias("q")).first().q or [])})
-    arr = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(arr, lambda b: b <= F.col("doc_id"))))
-    dealt = source.withColumn("bucket", bucket).repartition(max(1, len(bounds) + 1), "bucket")
-    return dealt.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
-
-
-def tokenized(docs: DataFrame, path: str, end: int, rows: int) -> DataFrame:
-    """(bucket, seq, at, doc_id, ids): ids with the end id, 16 bits each where the vocabulary allows, in ascending doc_id."""
+    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(max(1, -(-total // size)), *order)
+    return dealt.sortWithinPartitions(*order).drop("tie")
+
+
+def tokenized(docs: DataFrame, path: str, end: int, size: int) -> DataFrame:
+    """(bucket, seq, at, doc_id, ids): ids with the end id, 16 bits each where the vocabulary allows, in ascending doc_id.
+
+    A bucket is a partition of the range exchange; its number rises with doc_id.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("seq", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
 
     def run(batches):
         bpe = library_ids(path)
         wide = max(bpe.size, end + 1) > 1 << 16
         kind = "<u4" if wide else "<u2"
-        now, seq, at = None, 0, 0
-        for buckets, ids, texts in rows_of(batches, "bucket", "doc_id", "text"):
+        bucket, seq, at = TaskContext.get().partitionId(), 0, 0
+        for ids, texts in rows_of(batches, "doc_id", "text"):
             ends = np.cumsum([len(t) for t in texts])
             lo = 0
             while lo < len(ids):
                 # a few MB of texts, one at least
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + bpe.PIECE)))
-                coded = bpe.encode_bytes(texts[lo:hi])
-                places, blobs = [], []
-                for b, c in zip(buckets[lo:hi], coded):
-                    if b != now:
-                        now, seq, at = b, 0, 0
-                    places.append((seq, at))
+                seqs, ats, blobs = [], [], []
+                for c in bpe.encode_bytes(texts[lo:hi]):
+                    seqs.append(seq)
+                    ats.append(at)
                     seq, at = seq + 1, at + (len(c) >> 2) + 1
                     blobs.append(np.append(np.frombuffer(c, "<u4"), np.uint32(end)).astype(kind).tobytes())
-                yield batch(schema, buckets[lo:hi], [p[0] for p in places], [p[1] for p in places], ids[lo:hi], [wide] * len(blobs), blobs)
+                yield batch(schema, [bucket] * len(blobs), seqs, ats, ids[lo:hi], [wide] * len(blobs), blobs)
                 lo = hi
 
-    return _bucketed(docs, rows).mapInArrow(run, "bucket int, seq long, at long, doc_id long, wide boolean, ids binary")
+    return _bucketed(docs, size).mapInArrow(run, "bucket int, seq long, at long, doc_id long, wide boolean, ids binary")
 
 
 def _ids(blob: bytes, wide: bool) -> np.ndarray:
@@ -402,19 +403,19 @@ def count_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids", "wide").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, path: str, end: int = 1, rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+def write_tokens(spark: SparkSession, docs: DataFrame, path: str, end: int = 1, size: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """Two tables in the shared folder: the shared frequency table (id, n) and the blocks
     (bucket, start, doc_ids, doc_seqs, doc_counts, payload), start counted within the bucket.
 
-    Texts are shuffled once, by ranges of doc_id, and encoded once; Spark's commit
+    Texts are shuffled once, by ranges of doc_id of about `size` bytes, and encoded once; Spark's commit
     protocol makes a lost executor's blocks appear once.  Blocks are cut within
     what a task reads, so ids beyond a block never wait in its memory.
 
     A null text is an empty one and still gets its end id; a null doc_id sorts
-    first; rows repeated under one doc_id lie side by side.  An empty table
+    first; rows repeated under one doc_id lie side by side, by a hash of the text.  An empty table
     gives no blocks.  Other columns are not read.
     """
-    tokens = stored(spark, tokenized(docs, path, end, rows), "tokens", "zstd")
+    tokens = stored(spark, tokenized(docs, path, end, size), "tokens", "zstd")
     counts = stored(spark, count_tokens(tokens), "token-table")
     # at most one row for each id of the vocabulary
     shared = spark.sparkContext.broadcast(_frequencies(counts))
@@ -490,12 +491,12 @@ def read_tokens(spark: SparkSession, counts: DataFrame, blocks: DataFrame) -> Da
 
     pieces = blocks.mapInArrow(run, "bucket int, seq long, doc_id long, at long, n long, crc long")
     sizes = blocks.groupBy("bucket").agg(F.sum(F.aggregate("doc_counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    # one row for each bucket, 10,000 at most
+    # one row for each bucket, that is for each `size` bytes of texts
     before = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     whole = pieces.groupBy("bucket", "seq").agg(
         F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces")
     )
-    out = whole.join(F.broadcast(before), "bucket").select("doc_id", "bucket", "seq", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "pieces")
+    out = whole.join(before, "bucket").select("doc_id", "bucket", "seq", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "pieces")
     return out
 
 
@@ -503,12 +504,15 @@ def joined_crc(df: DataFrame) -> DataFrame:
     """read_tokens()'s rows with ids_crc32 of each whole document; only documents in several blocks need Python."""
     one = F.size("pieces") == 1
 
-    @F.udf("long")
-    def join(pieces):
-        crc = pieces[0]["crc"]
-        for p in pieces[1:]:
-            crc = crc32_joined(crc, p["crc"], 4 * p["n"])
-        return crc
+    @F.pandas_udf("long")
+    def join(all_pieces: pd.Series) -> pd.Series:
+        out = []
+        for pieces in all_pieces:
+            crc = int(pieces[0]["crc"])
+            for p in pieces[1:]:
+                crc = crc32_joined(crc, int(p["crc"]), 4 * int(p["n"]))
+            out.append(crc)
+        return pd.Series(out, dtype="int64")
 
     alone = df.where(one).withColumn("ids_crc32", F.col("pieces")[0]["crc"])
     return alone.unionByName(df.where(~one).withColumn("ids_crc32", join("pieces")))
