@@ -134,7 +134,7 @@ _SHORT = 64
 _LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
 
 
-def _stirred(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def stirred(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes, order kept; neither linear nor polynomial in them."""
     x = a * _ODD[0]
     x ^= x >> np.uint64(29)
@@ -165,7 +165,7 @@ def word_hashes(text: bytes) -> np.ndarray:
             break
         part = np.ascontiguousarray(eight[at]).view("<u8").ravel()
         part = np.where(left < 8, part & _LOW_BYTES[np.minimum(left, 7)], part)
-        out[which] = _stirred(out[which], part)
+        out[which] = stirred(out[which], part)
         more = np.flatnonzero(left > 8)
         which = more if isinstance(which, slice) else which[more]
         at, left = at[more] + 8, left[more] - 8
@@ -185,10 +185,10 @@ def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     out, done, piece, size = np.full(n, salt + k, np.uint64), 0, h, 1
     while size <= k:
         if k & size:
-            out = _stirred(out, piece[done : done + n])
+            out = stirred(out, piece[done : done + n])
             done += size
         if 2 * size <= k:
-            piece = _stirred(piece[: len(piece) - size], piece[size:])
+            piece = stirred(piece[: len(piece) - size], piece[size:])
         size *= 2
     return out
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, columns_of, id_text, mixed, rolled, rows_of, stored, word_hashes
+from .common import batch, columns_of, id_text, mixed, rolled, rows_of, stirred, stored, word_hashes
 
 #: Anchors with more contexts than this have their windows counted instead.
 MOST = 2000
@@ -97,22 +97,24 @@ class SuffixAutomaton:
 
 
 def segments(h: np.ndarray, window: int, k: int):
-    """(anchor, lo, hi): each segment's anchor hash and its first and last window's start."""
+    """(anchor, lo, hi, context): each segment's anchor hash, its first and last window's start, and a hash of its words.
+
+    The words are h[lo : hi + window].  The first and the last window overlap and so hold all of
+    them; each is hashed from the K-grams that cover it.
+    """
     if len(h) < window:
         none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none
+        return none.view(np.uint64), none, none, none.view(np.uint64)
     g = rolled(h, k)
     at = np.lib.stride_tricks.sliding_window_view(g, window - k + 1).argmin(1) + np.arange(len(h) - window + 1)
     cut = np.flatnonzero(at[1:] != at[:-1]) + 1
     lo = np.concatenate([[0], cut])
     hi = np.concatenate([cut, [len(at)]]) - 1
-    return g[at[lo]], lo, hi
-
-
-def contexts_hashed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
-    """A 64-bit hash of each segment's words h[lo : hi + window]: its first and last window overlap, so they hold all of them."""
-    whole = rolled(h, window)
-    return mixed(whole[lo] * np.uint64(0xD6E8FEB86659FD93) ^ mixed(whole[hi] + (hi - lo).astype(np.uint64)))
+    context = (hi - lo).astype(np.uint64)
+    for start in (lo, hi):
+        for step in (*range(0, window - k, k), window - k):
+            context = stirred(context, g[start + step])
+    return g[at[lo]], lo, hi, context
 
 
 def _key(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -143,10 +145,10 @@ def verdicts(spark: SparkSession, docs: DataFrame, window: int, k: int, most: in
                 cols = [[], [], []]
                 for t in texts[lo_ : lo_ + 64]:
                     h = word_hashes(t)
-                    a, lo, hi = segments(h, window, k)
+                    a, lo, hi, c = segments(h, window, k)
                     if len(a):
                         cols[0].append(a)
-                        cols[1].append(contexts_hashed(h, lo, hi, window))
+                        cols[1].append(c)
                         cols[2].append(hi - lo + 1)
                 if cols[0]:
                     a, c, n = map(np.concatenate, cols)
@@ -185,10 +187,10 @@ def _resolved(spark: SparkSession, docs: DataFrame, several: DataFrame, window:
                 out = [[], [], []]
                 for t in texts[lo_ : lo_ + 256]:
                     h = word_hashes(t)
-                    a, lo, hi = segments(h, window, k)
+                    a, lo, hi, c = segments(h, window, k)
                     if not len(a):
                         continue
-                    a, c = a.view(np.int64), contexts_hashed(h, lo, hi, window).view(np.int64)
+                    a, c = a.view(np.int64), c.view(np.int64)
                     if picked:
                         if not many:
                             continue
@@ -287,10 +289,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, k: in
                     out = []
                     for t in texts[at_ : at_ + 256]:
                         h = word_hashes(t)
-                        a, lo, hi = segments(h, window, k)
+                        a, lo, hi, c = segments(h, window, k)
                         gone = np.zeros(len(h), bool)
                         if len(a) and len(keys):
-                            key = _key(a, contexts_hashed(h, lo, hi, window)).view(np.int64)
+                            key = _key(a, c).view(np.int64)
                             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                             hit = np.flatnonzero(keys[at] == key)
                             if len(hit):
@@ -306,8 +308,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, k: in
         for rows_, texts in rows_of(batches, "row", "text"):
             for r, t in zip(rows_, texts):
                 h = word_hashes(t)
-                a, lo, hi = segments(h, window, k)
-                key = _key(a, contexts_hashed(h, lo, hi, window)).view(np.int64)
+                a, lo, hi, c = segments(h, window, k)
+                key = _key(a, c).view(np.int64)
                 yield batch(keyed, [r] * len(lo), pa.array(lo.astype(np.int32)), pa.array(key))
 
     texts = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
