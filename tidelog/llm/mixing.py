@@ -18,8 +18,10 @@ from pyspark.sql.window import Window
 
 from .common import WORD, stored
 
-#: Sources are a dimension of the mix's configuration; their totals go to the driver, so many at most.
-MOST_SOURCES = 100_000
+#: A table of a row or two for each source is broadcast up to so many sources; beyond them it is joined.
+MOST_SENT = 100_000
+#: Draws find their source by an equality on slices of [0, 1) and a range inside.
+SLICES = 4096
 
 
 def targets(sizes: dict[str | None, int], weights: list[float], share: float, most: float) -> dict[str | None, float]:
@@ -98,16 +100,14 @@ def mix_sources(
         ),
         "mix-sizes",
     )
-    totals = base.groupBy("source_key", "source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    # a row for each source: the mix's own plan, made by a loop over sources
+    totals = base.groupBy("source_key", "source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    sent = F.broadcast if len(totals) <= MOST_SENT else lambda df: df
     sizes = {r.source: r.words for r in totals}
     want = targets(sizes, list(weights), share, most)
     plan, total = [], 0
     for s in sorted(sizes, key=lambda s: (s is None, s or "")):
         blocks = -(-sizes[s] // block)
-        if blocks >= 1 << 32:
-            raise ValueError("too many blocks in a source: take longer blocks")
         slots = min(round(want[s] * blocks / sizes[s]), math.ceil(most * blocks)) if blocks else 0
         plan.append({"source_key": "" if s is None else f"={s}", "source_size": sizes[s], "target": want[s], "blocks": blocks, "slots": slots})
         total += slots
@@ -123,7 +123,7 @@ def mix_sources(
     placed = (
         b.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, ["source_key", "bucket"])
-        .join(F.broadcast(facts.select("source_key", "source_size", "target")), "source_key")
+        .join(sent(facts.select("source_key", "source_size", "target")), "source_key")
         .select("doc_id", "source", "source_key", "size", "source_size", "target", (F.col("start") + F.col("inner")).alias("at"), *carry)
     )
     placed = stored(spark, placed, "mix-placed")
@@ -148,14 +148,12 @@ def slots_of(spark: SparkSession, plan: list[dict], total: int, shard_slots: int
         bounds.append(cum / total)
     # Each slot's draw, then the shard's multinomial counts.
     u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("u")
-    arr = F.array(*[F.lit(x) for x in bounds[:-1]]).cast("array<double>")
-    draw = F.size(F.filter(arr, lambda x: x <= F.col("u")))
-    counts = (
-        spark.range(total)
-        .select(F.floor(F.col("id") / shard_slots).alias("shard"), u)
-        .groupBy("shard", draw.alias("s"))
-        .agg(F.count("*").alias("n"))
-    )
+    sent = F.broadcast if len(live) <= MOST_SENT else lambda df: df
+    edges = _rows(spark, [{"s": i, "lo": lo, "hi": hi} for i, (lo, hi) in enumerate(zip([0.0, *bounds[:-1]], [*bounds[:-1], 1.0]))], "s int, lo double, hi double")
+    edges = edges.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lo") * SLICES), F.least(F.floor(F.col("hi") * SLICES), F.lit(SLICES - 1)))))
+    draws = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), u).withColumn("slice", F.floor(F.col("u") * SLICES))
+    draws = draws.join(sent(edges), "slice").where("lo <= u and u < hi")
+    counts = draws.groupBy("shard", "s").agg(F.count("*").alias("n"))
     counts = stored(spark, counts, "mix-counts")
     drawn = {r.s: r.n for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     # What was drawn beyond a source's slots goes to the sources that drew too few.
@@ -173,7 +171,7 @@ def slots_of(spark: SparkSession, plan: list[dict], total: int, shard_slots: int
     run = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     slots = counts.select("shard", "s", "n", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("start"))
     slots = slots.select("shard", F.col("s").alias("s0"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("j0"))
-    m = F.broadcast(_rows(spark, moves, "s int, lo bigint, hi bigint, dest int, shift bigint"))
+    m = sent(_rows(spark, moves, "s int, lo bigint, hi bigint, dest int, shift bigint"))
     slots = slots.join(m, (F.col("s0") == m.s) & (F.col("j0") >= m.lo) & (F.col("j0") < m.hi), "left").select(
         "shard", "s0", "j0", F.coalesce(m["dest"], F.col("s0")).alias("s"), (F.col("j0") + F.coalesce(m["shift"], F.lit(0))).alias("j")
     )
@@ -185,10 +183,13 @@ def slots_of(spark: SparkSession, plan: list[dict], total: int, shard_slots: int
             a = _coprime(n, _uniform(seed, p["source_key"], e, "a") % min(n, 1 << 31))
             perms.append({"s": i, "epoch": e, "source_key": p["source_key"], "blocks": n, "a": a, "b": _uniform(seed, p["source_key"], e, "b") % n})
     q = _rows(spark, perms, "s int, epoch bigint, source_key string, blocks bigint, a bigint, b bigint")
-    ns = F.broadcast(_rows(spark, [{"s": i, "nb": p["blocks"]} for i, p in enumerate(live)], "s int, nb bigint"))
+    ns = sent(_rows(spark, [{"s": i, "nb": p["blocks"]} for i, p in enumerate(live)], "s int, nb bigint"))
     slots = slots.join(ns, "s").withColumn("epoch", F.floor(F.col("j") / F.col("nb")))
-    slots = slots.join(F.broadcast(q), ["s", "epoch"])
-    block = F.pmod(F.col("a") * F.pmod(F.col("j"), F.col("blocks")) + F.col("b"), F.col("blocks"))
+    slots = slots.join(sent(q), ["s", "epoch"])
+    # a is below 2**31; a source of 2**32 blocks or more takes 38-digit numbers, which hold the product of any two such
+    wide = "decimal(38,0)" if any(p["blocks"] >= 1 << 32 for p in live) else "long"
+    a, b, n, j = (F.col(c).cast("decimal(19,0)" if wide != "long" else wide) for c in ("a", "b", "blocks", "j"))
+    block = F.pmod((a * F.pmod(j, n)).cast(wide) + b, n).cast("long")
     return slots.select("source_key", block.alias("block"), "shard", F.xxhash64(F.lit(seed), "s0", "j0").alias("slot"))
 
 
