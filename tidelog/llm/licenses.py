@@ -52,6 +52,33 @@ TEMPLATES = {
     "cc-by-nc-4.0": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
     "cc-by-4.0": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "cc0-1.0": ["released under cc0 1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "gpl-2.0": [
+        "this work is licensed under the gnu general public license version 2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or any later version",
+    ],
+    "lgpl-2.1": [
+        "licensed under the gnu lesser general public license version 2.1",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or any later version",
+    ],
+    "lgpl-3.0": [
+        "licensed under the gnu lesser general public license version 3",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or any later version",
+    ],
+    "agpl-3.0": [
+        "licensed under the gnu affero general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or any later version",
+    ],
+    "apache-1.1": ["licensed under the apache license version 1.1", "licensed under the apache software license version 1.1"],
+    "bsd-2-clause": ["licensed under the bsd 2 clause license"],
+    "cc-by-sa-4.0": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
+    "cc-by-nc-sa-4.0": ["licensed under cc by nc sa 4.0", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license"],
+    "cc-by-nd-4.0": ["licensed under cc by nd 4.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"],
+    "isc": ["licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "bsl-1.0": ["distributed under the boost software license version 1.0"],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"],
+    "ofl-1.1": ["this font software is licensed under the sil open font license version 1.1"],
     "all-rights-reserved": ["all rights reserved", "copyright all rights reserved"],
 }
 #: Prose that speaks of the same things without granting a license.
@@ -69,10 +96,18 @@ OTHER = [
 ]
 #: Words of other licenses whose wording is otherwise close to a family's.
 OTHERS_WORDS = {
+    "gpl-2.0": {b"lesser", b"affero", b"library"},
     "gpl-3.0": {b"lesser", b"affero", b"library"},
     "cc-by-4.0": {b"noncommercial", b"nc", b"sharealike", b"sa", b"noderivatives", b"noderivs", b"nd"},
     "cc-by-nc-4.0": {b"sharealike", b"sa", b"noderivatives", b"noderivs", b"nd"},
+    "cc-by-sa-4.0": {b"noncommercial", b"nc", b"noderivatives", b"noderivs", b"nd"},
+    "cc-by-nd-4.0": {b"noncommercial", b"nc", b"sharealike", b"sa"},
 }
+#: Names; a notice holds all those that its template has.
+NAMES = {
+    b"affero", b"apache", b"boost", b"bsd", b"cc", b"cc0", b"creative", b"eclipse", b"gnu", b"isc", b"lesser", b"mit", b"mozilla",
+    b"nc", b"nd", b"noncommercial", b"noderivatives", b"sa", b"sharealike", b"sil",
+}
 BITS = 14
 _WORDS = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
 #: Comment marks that are letters, and lines that hold nothing but other marks.
@@ -100,15 +135,20 @@ def paragraphs(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
         yield i + 1 - len(run), run
 
 
+def _number(word: bytes) -> bytes:
+    """A word with digits as a bare number: v3 and 3.0 are 3."""
+    return word.removeprefix(b"v").removesuffix(b".0") if any(48 <= c < 58 for c in word) else word
+
+
 def versions(words: list[bytes]) -> set[bytes]:
-    """The words with digits; v3 and 3.0 count as 3."""
-    found = (w.removeprefix(b"v") for w in words if any(48 <= c < 58 for c in w))
-    return {w.removesuffix(b".0") for w in found}
+    """The words with digits, as bare numbers."""
+    return {_number(w) for w in words if any(48 <= c < 58 for c in w)}
 
 
 def grams(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest as h
 
+    words = [_number(w) for w in words]
     out = {h(b" ".join(words[i : i + n])) & ((1 << BITS) - 1) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
     return np.fromiter(out, np.int64, len(out))
 
@@ -126,6 +166,8 @@ class LicenseModel:
                 w = words_of(t.encode())
                 for v in range(24):
                     x = list(w)
+                    if v % 4 == 3:  # a version by its number alone
+                        x = [c for c in x if c != b"version"]
                     if v > 4:  # a word or two changed, others around it
                         for _ in range(int(rng.integers(0, 1 + len(x) // 8)) if len(x) > 6 else 0):
                             x[int(rng.integers(len(x)))] = vocabulary[int(rng.integers(len(vocabulary)))]
@@ -163,15 +205,15 @@ class LicenseModel:
         self.accuracy = float(np.mean([int(x.argmax() == y) for x, y in held]))
         self.forms = {n: [set(zip(w, w[1:])) for w in (words_of(t.encode()) for t in ts)] for n, ts in TEMPLATES.items()}
         self.head = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t.encode())}
-        # (family, distinct word pairs, words, versions) of each template, and the templates that hold a pair
-        self.templates: list[tuple[str, int, int, set[bytes]]] = []
+        # (family, distinct word pairs, words, versions, names) of each template, and the templates that hold a pair
+        self.templates: list[tuple[str, int, int, set[bytes], set[bytes]]] = []
         self.having: dict[tuple[bytes, bytes], list[int]] = {}
         for n, ts in TEMPLATES.items():
             for t, form in zip(ts, self.forms[n]):
                 for pair in form:
                     self.having.setdefault(pair, []).append(len(self.templates))
                 w = words_of(t.encode())
-                self.templates.append((n, len(form), len(w), versions(w)))
+                self.templates.append((n, len(form), len(w), versions(w), NAMES.intersection(w)))
 
     def logits(self, feats: np.ndarray) -> np.ndarray:
         return self.weights[feats].sum(0) / np.sqrt(max(1, len(feats))) + self.bias
@@ -190,8 +232,8 @@ class LicenseModel:
         """(first line, last line, family, chance, overlap) of each notice in a paragraph, lines from 0.
 
         Each family is looked for on its own, so a line may hold several.  Findings of one family
-        on a common line are one.  A notice must hold its template's version, at most three words away, and no
-        word that makes it another license's.
+        on a common line are one.  A notice must hold its template's version, at most three words away, the names
+        that its template has, and no word that makes it another license's.
         """
         words, ends = [], []
         for line in lines:
@@ -205,12 +247,14 @@ class LicenseModel:
                 hits.setdefault(k, []).append((i, pair))
         found = []
         for k, places in hits.items():
-            family, pairs, length, version = self.templates[k]
+            family, pairs, length, version, names = self.templates[k]
             for lo, hi, n in _close(places, math.ceil(overlap * pairs - 1e-9), 2 * length + 8):
                 spans = (words[max(0, lo - more) : hi + 1 + more] for more in range(4))
                 own = next((s for s in spans if version <= versions(s)), None)
                 if own is None or not OTHERS_WORDS.get(family, set()).isdisjoint(own):
                     continue
+                if not names.issubset(own):
+                    continue
                 p = self._confirmed(words, lo, hi, family)
                 if p >= chance:
                     found.append((bisect_right(ends, lo), bisect_right(ends, hi), family, p, n / pairs))
