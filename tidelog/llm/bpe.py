@@ -48,7 +48,7 @@ class WordBPE:
     generations of `most` entries and one batch's each, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
