@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, jaccard, lines, mixing, quality
-from tidelog.llm.common import keyed, stored
+from tidelog.llm.common import keyed, stored, sweep, written
 
 
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines found in five documents or more stay in one of them, that with the largest doc_id; n_chars follows the text.
 
-    Every row counts as a document.  All rows under that doc_id keep the line; rows with a null
-    doc_id lose it, unless all that hold it have none.
+    Rows under one doc_id are one document and keep or lose the line together; the rows with a null
+    doc_id are one document, which loses it.
     """
     columns, docs = docs.dtypes, keyed(docs)
     found = lines.LineIndex(spark).insert(docs).apply(docs, carry=("__row",)).where("n_dropped > 0")
@@ -99,12 +99,17 @@ STAGES = [
     ("BPE encoding", tokens),
 ]
 
-#: No SQL: the classifier, the mix and the encoding have none.  Tests compare each stage with a brute-force version.
+#: No SQL: the classifier, the mix and the encoding have none.  Tests compare stages with brute-force versions of their decisions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages, one after another; what a stage stored on its way is deleted once its rows are.
+
+    An empty table goes through all stages; so do nulls, empty texts and repeated rows, as each stage says.
+    """
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES:
         docs = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, mark, docs)
     return docs
