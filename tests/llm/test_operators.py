@@ -90,6 +90,8 @@ def test_bpe_matches_the_library(spark, docs, library):
     for i, t in [(r[0], r[1]) for r in ROWS]:
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert all(x == (ids, library.decode(ids, skip_special_tokens=False)) for x in got[i])
+    both = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in bpe.encode(docs, bpe.vocabulary(), decoded=True).collect()]
+    assert sorted(both, key=repr) == sorted([(i, *x) for i, rows in got.items() for x in rows], key=repr)
 
 
 @settings(max_examples=150, deadline=None)

@@ -287,23 +287,27 @@ def tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): ids of each whole text, little-endian unsigned 32-bit.
 
+    With `decoded`, the text that decode() makes of the ids follows, by the same worker.
+
     One pass without a shuffle; rows stay where they are.  Null and empty
     texts have no ids; a null doc_id and repeated rows pass through; other
     columns are not read.  path must name the same file on every machine.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    more = [("decoded", pa.string())] if decoded else []
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *more])
 
     def run(batches):
         bpe = tokenizer(path)
         for ids, texts in rows_of(batches, "doc_id", "text"):
             for lo in range(0, len(ids), 256):
                 out = bpe.encode_many([t.decode() for t in texts[lo : lo + 256]])
-                yield batch(schema, ids[lo : lo + 256], [len(x) >> 2 for x in out], out)
+                back = [list(map(bpe.decode, out))] if decoded else []
+                yield batch(schema, ids[lo : lo + 256], [len(x) >> 2 for x in out], out, *back)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -321,7 +325,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    return decode(encode(docs, path), path).select(
+    return encode(docs, path, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 
