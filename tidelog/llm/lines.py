@@ -147,11 +147,12 @@ class LineIndex:
         self.filters: DataFrame | None = None
         self.shards = 1
 
-    def _postings(self, docs: DataFrame) -> DataFrame:
+    def _postings(self, docs: DataFrame, known=None) -> DataFrame:
+        """(h1, h2, doc_id) of all long lines, or of those that `known`, a function of batches, lets through: in one Python worker a task."""
         least = self.least_chars
         schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
 
-        def run(batches):
+        def found(batches):
             for ids, texts in rows_of(batches, "doc_id", "text"):
                 keys, docs_ = [], []
                 for d, t in zip(ids, texts):
@@ -160,6 +161,9 @@ class LineIndex:
                     docs_ += [d] * len(mine)
                 yield batch(schema, *_hashes(keys), docs_)
 
+        def run(batches):
+            return known(found(batches)) if known else found(batches)
+
         return id_text(docs).mapInArrow(run, "h1 long, h2 long, doc_id long")
 
     def _recount(self, change: DataFrame | None) -> None:
@@ -273,7 +277,7 @@ class LineIndex:
             return self.spark.sparkContext.broadcast({r.shard: r.blob for r in self.filters.where(F.col("shard").isin(shards_)).collect()})
 
         if now == 0:
-            return self._postings(docs).mapInArrow(known_by(sent_of(list(rounds))), cols)
+            return self._postings(docs, known_by(sent_of(list(rounds))))
         # the shards of a round follow each other: its number is that of the last round begun at or below the shard
         first = [min(s for s, x in rounds.items() if x == i) for i in range(1, now + 1)]
         begun = F.array(*[F.lit(x) for x in first])
