@@ -50,6 +50,37 @@ def test_insert_and_delete_flags(spark):
     assert got == [(True, False), (False, False), (False, True), (False, False), (True, False)]
 
 
+def test_flags_across_slices(spark):
+    import random
+
+    rng, ops = random.Random(3), []
+    for seq in range(400):
+        ops.append((seq, (rng.choice(["PUT", "DELETE"]), "hot" if rng.random() < 0.5 else f"k{rng.randrange(60)}", "v")))
+    state, want = set(), []
+    for seq, (op, key, _) in ops:
+        was = key in state
+        want.append((seq, was, op == "PUT" and not was, op == "DELETE" and was))
+        (state.add if op == "PUT" else state.discard)(key)
+    for size in (1, 7, 64, 1 << 22):
+        got = L.flagged(log(spark, *ops), size).select("seq", "existed", "inserted", "effective").orderBy("seq").collect()
+        assert [tuple(r) for r in got] == want
+
+
+def test_siblings_against_every_pair(spark):
+    import random
+
+    from tidelog.functions import clock as C
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), i, {s: rng.randrange(1, 5) for s in "xyz" if rng.random() < 0.8}) for i in range(80)]
+    rows += [("chain", 100 + i, {"x": i}) for i in range(30)] + [("same", 200 + i, {"x": 1}) for i in range(3)] + [("none", 300, {}), ("null", 400, None), (None, 500, {"x": 1})]
+    before = lambda p, q: p != q and all(n <= q.get(s, 0) for s, n in p.items()) and any(n > p.get(s, 0) for s, n in q.items())
+    known = [r for r in rows if r[0] is not None and r[2] is not None]
+    want = {v for k, v, c in rows if k is None or c is None or not any(k == k2 and before(c, c2) for k2, _, c2 in known)}
+    got = C.siblings(spark.createDataFrame(rows, "key string, version long, vc map<string,bigint>")).collect()
+    assert len(got) == len(want) and {r.version for r in got} == want
+
+
 pairs = st.lists(st.tuples(st.integers(0, 2**40), st.sampled_from([0, 1]), st.binary(max_size=20), st.binary(max_size=20)), max_size=8)
 
 
@@ -99,11 +130,44 @@ def test_ring_rules(spark):
     assert sum(r.positions for r in R.ownership(three).collect()) == 1 << 32
 
 
+def test_ring_of_one_task_and_of_many_agree(spark, monkeypatch):
+    made = lambda: sorted(map(tuple, R.arcs(R.ring(names(spark, "n1", "n2", "n3", "n4"), 30)).collect()))
+    one = made()
+    monkeypatch.setattr(R, "ONE_TASK", 0)
+    assert made() == one and len(one) == 121 and min(one)[0] == -1 and max(one)[1] == R.RING_SIZE
+    ends = sorted((hi, lo) for lo, hi, _ in one)
+    assert all(lo == before for (_, lo), (before, _) in zip(ends[1:], ends)) and all(len(set(p)) == 4 for *_, p in one)
+    single = R.arcs(R.ring(names(spark, "n1"), 1)).collect()
+    assert len(single) == 2 and all(r.pref == ["n1"] for r in single)
+
+
+def test_keys_without_hash_are_not_placed(spark):
+    keys = spark.createDataFrame([(None,), ("",), ("k",)], "key string")
+    assert {r.key for r in R.place(keys, R.arcs(R.ring(names(spark, "n1", "n2"), 10))).collect()} == {"", "k"}
+
+
 def test_all_nodes_dead(spark):
     n = names(spark, "a", "b").withColumn("disabled", F.lit(True))
     p = R.place(spark.createDataFrame([("k",)], "key string"), R.arcs(R.ring(n, 10)))
     r = D.put_placement(p, n).first()
     assert r.written == [] and len(r.failed) == 2 and r.handoff == []
+    assert D.first_alive(p, n).first().serves is None
+    held = spark.createDataFrame([("a", "k", "v")], "node string, key string, value string")
+    assert D.failover_get(p, held, n).collect() == []
+
+
+def test_inventory_of_holders_and_clocks(spark):
+    held = spark.createDataFrame([("a", "k", "v"), ("a", "k", "w"), ("b", "other", "x"), ("lost", "k", "v")], "node string, key string, value string")
+    clocks = spark.createDataFrame([("k", {"a": 2}), ("ghost", {"b": 1})], "key string, vc map<string,bigint>")
+    arcs = R.arcs(R.ring(names(spark, "a", "b"), 10))
+    place = lambda keys: R.place(keys, arcs)
+    got = {r.key: r for r in D.inventory(held, place, clocks=clocks).collect()}
+    assert (sorted(got["k"].holding), got["k"].missing, got["k"].in_sync, got["k"].vc) == (["a"], ["b"], False, {"a": 2})
+    assert (got["ghost"].holding, len(got["ghost"].missing), got["ghost"].vc) == ([], 2, {"b": 1})
+    assert (got["other"].holding, got["other"].vc) == (["b"], None)
+    assert {r.key for r in D.inventory(held, place).collect()} == {"k", "other"}
+    n = names(spark, "a", "b")
+    assert D.failover_get(place(held.select("key").distinct()), held, n, repeats=True).where("key = 'k'").first().value == "v"
 
 
 def vc(d):

@@ -65,7 +65,16 @@ def merge_all(clocks: DataFrame) -> DataFrame:
 
 
 def siblings(versions: DataFrame) -> DataFrame:
-    """Versions (key, version, vc) that no other version of their key descends from."""
-    other = versions.select(F.col("key").alias("k2"), F.col("version").alias("v2"), F.col("vc").alias("vc2"))
+    """Versions (key, version, vc) that no other version of their key descends from.
+
+    A key's champion, the version with the greatest sum of counters, drops all that it descends from, one
+    comparison a version.  Only versions that are left, the champion's concurrent ones and its equals, are
+    compared with each other: whatever a dropped version descends from the champion does too.
+    """
+    total = F.aggregate(F.map_values("vc"), F.lit(0).cast("long"), lambda s, n: s + n)
+    best = versions.groupBy("key").agg(F.max_by("vc", total).alias("top"))
+    behind = compare(F.col("vc"), F.col("top")) == "BEFORE"
+    left = versions.join(best, "key", "left").where(~F.coalesce(behind, F.lit(False))).select(*versions.columns)
+    other = left.select(F.col("key").alias("k2"), F.col("version").alias("v2"), F.col("vc").alias("vc2"))
     beaten = (F.col("key") == F.col("k2")) & (F.col("version") != F.col("v2")) & (compare(F.col("vc"), F.col("vc2")) == "BEFORE")
-    return versions.join(other, beaten, "left_anti")
+    return left.join(other, beaten, "left_anti")

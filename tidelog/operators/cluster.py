@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ def route(placed: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
 
 
 def first_alive(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """placed with serves, the first live node of the walk; null if all are dead."""
     dead = _dead(nodes)
-    return placed.withColumn("serves", F.filter("pref", lambda n: ~F.array_contains(dead, n))[0])
+    return placed.withColumn("serves", F.get(F.filter("pref", lambda n: ~F.array_contains(dead, n)), F.lit(0)))
 
 
 def put_placement(placed: DataFrame, nodes: DataFrame, rf: int = 2) -> DataFrame:
@@ -48,20 +51,24 @@ def coordinator(requested: Column, known: Column, owner: Column) -> Column:
     return F.when(F.array_contains(known, requested), requested).otherwise(owner)
 
 
-def failover_get(placed: DataFrame, holdings: DataFrame, nodes: DataFrame, requested: Column | None = None) -> DataFrame:
+def failover_get(placed: DataFrame, holdings: DataFrame, nodes: DataFrame, requested: Column | None = None, repeats: bool = False) -> DataFrame:
     """(key, node, value, failover): the first live candidate that holds a value.
 
     Candidates are the requested node, the ring from the key's owner on, then the cluster's nodes in their
     order.  `failover` says that a node was requested (neither null nor empty) and another one answered.
+    Give `repeats` if holdings may hold a (node, key) more than once; else it is a key of them.
     """
     dead = _dead(nodes)
     asked = F.nullif(requested if requested is not None else F.lit(None).cast("string"), F.lit(""))
     order = F.array_distinct(F.concat(F.array_compact(F.array(asked)), F.col("pref"), _names(nodes, "true")))
     live = F.filter(order, lambda n: ~F.array_contains(dead, n))
-    candidates = placed.select("key", asked.alias("asked"), F.posexplode(live).alias("place", "node"))
-    found = candidates.join(holdings.select("key", "node", "value"), ["key", "node"])
-    best = found.groupBy("key").agg(F.min_by(F.struct("node", "value", "asked"), "place").alias("b"))
-    return best.select("key", "b.node", "b.value", F.coalesce(F.col("b.node") != F.col("b.asked"), F.lit(False)).alias("failover"))
+    # a key's holders are nodes, so the list is no longer than the cluster; of repeated rows the smallest value counts
+    held = holdings.groupBy("key", "node").agg(F.min("value").alias("value")) if repeats else holdings
+    held = held.groupBy("key").agg(F.collect_list(F.struct("node", "value")).alias("held"))
+    found = placed.select("key", asked.alias("asked"), live.alias("live")).join(held, "key")
+    found = found.withColumn("node", F.get(F.filter("live", lambda n: F.exists("held", lambda h: h["node"] == n)), F.lit(0))).where("node is not null")
+    value = F.get(F.filter("held", lambda h: h["node"] == F.col("node")), F.lit(0))["value"]
+    return found.select("key", "node", value.alias("value"), F.coalesce(F.col("node") != F.col("asked"), F.lit(False)).alias("failover"))
 
 
 def newest_get(placed: DataFrame, holdings: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -73,27 +80,30 @@ def newest_get(placed: DataFrame, holdings: DataFrame, nodes: DataFrame) -> Data
 
 def stamped(clocks: DataFrame, puts: DataFrame) -> DataFrame:
     """(key, vc): clocks after puts (key, coordinator): each put adds one to its coordinator's counter, keys without a clock begin one."""
-    one = puts.groupBy("key", F.col("coordinator").alias("server")).agg(F.count("*").alias("n"))
+    one = puts.select("key", F.col("coordinator").alias("server"), F.lit(1).cast("long").alias("n"))
     was = clocks.select("key", F.explode("vc").alias("server", "n"))
-    sums = was.unionByName(one.select("key", "server", "n")).groupBy("key", "server").agg(F.sum("n").alias("n"))
+    sums = was.unionByName(one).groupBy("key", "server").agg(F.sum("n").alias("n"))
     return sums.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("server", "n")))).alias("vc"))
 
 
-def known_keys(holdings: DataFrame, clocks: DataFrame) -> DataFrame:
-    """(key): the keys that any node holds or any clock names."""
-    return holdings.select("key").union(clocks.select("key")).distinct()
-
+def inventory(holdings: DataFrame, place: Callable[[DataFrame], DataFrame], rf: int = 2, clocks: DataFrame | None = None) -> DataFrame:
+    """(key, owner, targets, holding, missing, in_sync) of every key that any node holds.  With clocks (key, vc), a row a
+    key, their keys are there too and `vc` follows.
 
-def inventory(placed: DataFrame, holdings: DataFrame, rf: int = 2, clocks: DataFrame | None = None) -> DataFrame:
-    """(key, owner, targets, holding, missing, in_sync).  With clocks (key, vc), `vc` follows; `placed` holds the keys of both (`known_keys`)."""
-    holders = holdings.groupBy("key").agg(F.collect_set("node").alias("holders"))
-    targets = F.slice("pref", 1, rf)
-    rows = placed.select("key", F.col("pref")[0].alias("owner"), targets.alias("targets")).join(holders, "key", "left")
-    rows = rows.withColumn("holders", F.coalesce("holders", F.array().cast("array<string>")))
-    rows = rows.withColumn("holding", F.filter("targets", lambda n: F.array_contains("holders", n)))
-    rows = rows.withColumn("missing", F.filter("targets", lambda n: ~F.array_contains("holders", n)))
-    rows = rows.drop("holders").withColumn("in_sync", F.size("missing") == 0)
-    return rows if clocks is None else rows.join(clocks.select("key", "vc"), "key", "left")
+    `place` adds pref to a table with a key.  Holders and clocks are gathered in one pass, so rows are shuffled once.
+    """
+    rows = holdings.select("key", "node")
+    every = [F.collect_set("node").alias("holders")]
+    if clocks is not None:
+        rows = rows.unionByName(clocks.select("key", "vc"), allowMissingColumns=True)
+        every.append(F.first("vc", ignorenulls=True).alias("vc"))
+    placed = place(rows.groupBy("key").agg(*every)).withColumn("targets", F.slice("pref", 1, rf))
+    holding = F.filter("targets", lambda n: F.array_contains("holders", n))
+    missing = F.filter("targets", lambda n: ~F.array_contains("holders", n))
+    return placed.select(
+        "key", F.col("pref")[0].alias("owner"), "targets", holding.alias("holding"), missing.alias("missing"), (F.size(missing) == 0).alias("in_sync"),
+        *([] if clocks is None else ["vc"]),
+    )
 
 
 def state(nodes: DataFrame, holdings: DataFrame, log: DataFrame, gens: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:

@@ -22,11 +22,21 @@ def visible(log: DataFrame) -> DataFrame:
     return fold(log).where(~F.col("is_tombstone")).select("key", "value")
 
 
-def flagged(log: DataFrame) -> DataFrame:
-    """The log with what each operation found: existed, inserted (PUT of an absent key), effective (DELETE of a present one)."""
-    before = F.lag("op").over(Window.partitionBy("key").orderBy("seq"))
-    out = log.withColumn("existed", F.coalesce(before == "PUT", F.lit(False)))
-    return out.withColumn("inserted", (F.col("op") == "PUT") & ~F.col("existed")).withColumn("effective", (F.col("op") == "DELETE") & F.col("existed"))
+def flagged(log: DataFrame, slice_ops: int = 1 << 22) -> DataFrame:
+    """The log with what each operation found: existed, inserted (PUT of an absent key), effective (DELETE of a present one).
+
+    A key's operations are ordered inside slices of `slice_ops` sequence numbers, so a hot key is a task a
+    slice; a slice's first operation follows the last one of the key's slice before, whose ops are combined first.
+    """
+    cut = log.withColumn("__slice", F.floor(F.col("seq") / slice_ops))
+    before = F.lag("op").over(Window.partitionBy("key", "__slice").orderBy("seq"))
+    ends = cut.groupBy("key", "__slice").agg(F.max_by("op", "seq").alias("op"))
+    carried = F.lag("op").over(Window.partitionBy("key").orderBy("__slice"))
+    ends = ends.select("key", "__slice", carried.alias("__carried")).where("__carried is not null")
+    out = cut.withColumn("__before", before).join(ends, ["key", "__slice"], "left")
+    out = out.withColumn("existed", F.coalesce(F.coalesce("__before", "__carried") == "PUT", F.lit(False)))
+    out = out.withColumn("inserted", (F.col("op") == "PUT") & ~F.col("existed")).withColumn("effective", (F.col("op") == "DELETE") & F.col("existed"))
+    return out.select(*log.columns, "existed", "inserted", "effective")
 
 
 def effective_log(log: DataFrame) -> DataFrame:

@@ -469,9 +469,7 @@ def d11_node_storage(s, d):
 
 
 def d12_key_inventory(s, d):
-    held, clocks = X.holdings(s, d), X.clocks(s, d)
-    placed = R.place(D.known_keys(held, clocks), R.arcs(R.ring(X.nodes(s), 50)))
-    r = D.inventory(placed, held, clocks=clocks)
+    r = D.inventory(X.holdings(s, d), lambda keys: R.place(keys, R.arcs(R.ring(X.nodes(s), 50))), clocks=X.clocks(s, d))
     return r.select("key", "owner", _text("targets").alias("targets"), _text("holding").alias("holding"), _text("missing").alias("missing"), "in_sync", F.coalesce(C.text(F.col("vc")), F.lit("[]")).alias("clock"))
 
 
