@@ -254,6 +254,29 @@ def test_jaccard(spark, docs, none, monkeypatch, tile, group):
         assert jaccard.near_duplicates(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("hub_rows", [0, 3, 1 << 20])
+def test_components_with_hubs(spark, hub_rows):
+    import random
+
+    rng = random.Random(7)
+    pairs = [(0, i) for i in range(1, 60)] + [(500, i) for i in range(400, 460)] + [(i, i + 1) for i in range(600, 640)]
+    pairs += [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)] + [(rng.randrange(400, 460), 639)]
+    rng.shuffle(pairs)
+    root = {n: n for e in pairs for n in e}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.comp for r in components(spark, spark.createDataFrame(pairs, "a long, b long"), hub_rows=hub_rows).collect()}
+    alone = {n for n in root if not any(n in e and e[0] != e[1] for e in pairs)}
+    assert got == {n: top(n) for n in root if n not in alone}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in components(spark, edges).collect()}

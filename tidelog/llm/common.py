@@ -193,12 +193,25 @@ def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return out
 
 
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def _with_least(rows: DataFrame, hub_rows: int) -> DataFrame:
+    """rows (u, v) with m, the least v of their u.
+
+    A u with over hub_rows rows doesn't gather them in a task: its minimum is sent to where they lie.  There are
+    fewer such u than rows / hub_rows, so what is broadcast is 16 bytes for every hub_rows rows at most.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > hub_rows).select(F.col("u").alias("hub"), "m"))
+    rest = least.where(F.col("n") <= hub_rows).select("u", "m")
+    few = rows.join(hubs.select("hub"), F.col("u") == F.col("hub"), "left_anti").join(rest, "u")
+    return rows.join(hubs, F.col("u") == F.col("hub")).select("u", "v", "m").union(few.select("u", "v", "m"))
+
+
+def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64, hub_rows: int = 1 << 20) -> DataFrame:
     """(node, comp): each node of edges (a, b) with the smallest node reachable from it.
 
     Alternating large-star and small-star rounds; every round is a grouping
     with its result stored in the shared folder.  A node's neighbours are never
-    gathered in one row: only their minimum is, by partial aggregation.
+    gathered in one row, only their minimum is, by partial aggregation; nor in one task beyond `hub_rows` of them.
     """
     e = stored(
         spark,
@@ -209,13 +222,11 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64) ->
     was = same(e)
     for _ in range(most_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: each larger neighbour of u goes to u's minimum
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large star: each larger neighbour of u goes to the least of u and its neighbours
+        large = _with_least(both, hub_rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # small star: each smaller neighbour of u, and u itself, go to u's minimum
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            _with_least(large, hub_rows)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
