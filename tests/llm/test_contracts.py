@@ -80,6 +80,19 @@ def test_permutations_of_a_great_many_blocks(spark):
     assert len({r.block for r in got}) == 500 and all(0 <= r.block < n for r in got) and max(r.block for r in got) > 1 << 32
 
 
+def test_slots_are_never_broadcast_nor_made_by_one_task(spark):
+    """Operator 4 and the pipeline's mix: slots grow with the input, though Spark estimates them by the few counts they come from."""
+    rows = [(i, "a b c d e f g " * (1 + i % 5), f"s{i % 9}") for i in range(400)]
+    placed, mix = mixing.mix_sources(spark, spark.createDataFrame(rows, DOCS), block=4)
+    met = mix.groupBy("source_key", "at").agg(F.sum("n_words").alias("words"))
+    assert abs(sum(r.words for r in met.collect()) - sum(7 * (1 + i % 5) for i in range(400))) < 9 * 4  # but for sources' last blocks
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin [source_key" in plan.split("== Initial Plan ==")[0]
+    plan = [{"source_key": "=a", "source_size": 64_000, "target": 64_000.0, "blocks": 1000, "slots": 1000}]
+    tasks = mixing.slots_of(spark, plan, 1000, 8, 17).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in tasks) == 1000 and len(tasks) == 4
+
+
 def test_rows_of_one_document_count_once(spark):
     """Operator 6 and its SQL: four rows under one doc_id are one document, whichever insert brought them."""
     rows = [(1, LINE, "a")] * 4 + [(2, LINE, "a")] + [(i, f"{LINE} again", "a") for i in (1, 1, 2, 3, 4)] + [(5, f"x\n{LINE} again", "a"), (6, None, "a"), (7, "", "a")]

@@ -134,7 +134,8 @@ def mix_sources(
     high = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.select("source_key", "block", "at", (low - F.col("at")).alias("from_word"), (high - low).alias("n_words"))
 
-    return placed, slots_of(spark, plan, total, shard_slots, seed).join(pieces, ["source_key", "block"])
+    # Spark estimates what explode() makes by the few rows it comes from and would broadcast slots or pieces; both grow with the input
+    return placed, slots_of(spark, plan, total, shard_slots, seed).hint("merge").join(pieces, ["source_key", "block"])
 
 
 def slots_of(spark: SparkSession, plan: list[dict], total: int, shard_slots: int, seed: int) -> DataFrame:
@@ -170,6 +171,8 @@ def slots_of(spark: SparkSession, plan: list[dict], total: int, shard_slots: int
                 lacking.pop()
     run = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     slots = counts.select("shard", "s", "n", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("start"))
+    # counts are small and would be one task; as many as shuffles have make the slots
+    slots = slots.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "s")
     slots = slots.select("shard", F.col("s").alias("s0"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("j0"))
     m = sent(_rows(spark, moves, "s int, lo bigint, hi bigint, dest int, shift bigint"))
     slots = slots.join(m, (F.col("s0") == m.s) & (F.col("j0") >= m.lo) & (F.col("j0") < m.hi), "left").select(
