@@ -283,6 +283,23 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
+@pytest.mark.parametrize("hub_rows", [8, 1 << 20])
+def test_components_keep_plans_small(spark, hub_rows):
+    """The driver holds a round's plan many times over: rounds that nested their own parts had 14 to 25 exchanges and took its memory."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = store.executionsCount()
+    edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
+    got = {r.node: r.comp for r in components(spark, edges, hub_rows=hub_rows).collect()}
+    assert got == {i: 0 for i in range(30)} | {i: 100 for i in range(100, 141)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    graphs = [store.planGraph(runs.apply(i).executionId()).allNodes() for i in range(began, runs.size())]
+    names = [[g.apply(i).name() for i in range(g.size())] for g in graphs]
+    assert len(names) > 6
+    assert max(sum("Exchange" in x for x in n) for n in names) <= 5
+    assert max(len(n) for n in names) <= 60
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -193,17 +194,24 @@ def rolled(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return out
 
 
-def _with_least(rows: DataFrame, hub_rows: int) -> DataFrame:
-    """rows (u, v) with m, the least v of their u.
+def _with_least(spark: SparkSession, rows: DataFrame, most: int, hub_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """rows (u, v) with m, the least v of their u; and the tables that were stored for it.
 
-    A u with over hub_rows rows doesn't gather them in a task: its minimum is sent to where they lie.  There are
+    rows are at most `most`: where that is below hub_rows no u can have more, and a window is the whole plan.  Else
+    a u with over hub_rows rows doesn't gather them in a task: its minimum is sent to where they lie.  There are
     fewer such u than rows / hub_rows, so what is broadcast is 16 bytes for every hub_rows rows at most.
+    They are stored first, and rows should be: the driver holds the plan of a round many times over, so it must stay small.
     """
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > hub_rows).select(F.col("u").alias("hub"), "m"))
-    rest = least.where(F.col("n") <= hub_rows).select("u", "m")
-    few = rows.join(hubs.select("hub"), F.col("u") == F.col("hub"), "left_anti").join(rest, "u")
-    return rows.join(hubs, F.col("u") == F.col("hub")).select("u", "v", "m").union(few.select("u", "v", "m"))
+    gathered = lambda df: df.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+    if most <= hub_rows:
+        return gathered(rows), []
+    hubs = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where(F.col("n") > hub_rows)
+    hubs = stored(spark, hubs.select(F.col("u").alias("hub"), "m"), "hubs")
+    if hubs.isEmpty():
+        return gathered(rows), [hubs]
+    sent = F.broadcast(hubs)
+    rest = gathered(rows.join(sent, F.col("u") == F.col("hub"), "left_anti"))
+    return rows.join(sent, F.col("u") == F.col("hub")).select("u", "v", "m").union(rest), [hubs]
 
 
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64, hub_rows: int = 1 << 20) -> DataFrame:
@@ -211,7 +219,7 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64, hub
 
     Alternating large-star and small-star rounds; every round is a grouping
     with its result stored in the shared folder.  A node's neighbours are never
-    gathered in one row, only their minimum is, by partial aggregation; nor in one task beyond `hub_rows` of them.
+    gathered in one row, only their minimum is; nor in one task beyond `hub_rows` of them.
     """
     e = stored(
         spark,
@@ -221,13 +229,18 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64, hub
     same = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     was = same(e)
     for _ in range(most_rounds):
+        n = was[0]  # each edge gives a node one row at most in either star
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: each larger neighbour of u goes to the least of u and its neighbours
-        large = _with_least(both, hub_rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large, gone = _with_least(spark, both, n, hub_rows)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        if n > hub_rows:
+            large = stored(spark, large, "edges")
+            gone.append(large)
         # small star: each smaller neighbour of u, and u itself, go to u's minimum
+        small, more = _with_least(spark, large, n, hub_rows)
         small = (
-            _with_least(large, hub_rows)
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+            small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
             .distinct()
@@ -235,7 +248,7 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 64, hub
         new = stored(spark, small, "edges")
         now = same(new)
         done, was = now == was, now
-        discard(spark, e)
+        discard(spark, e, *gone, *more)
         e = new
         if done:
             break
